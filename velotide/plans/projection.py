@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velotide.functions.columns import days, hour_floor, naive, seconds
+from velotide.operators.cleaning import normalize
 from velotide.operators.forecast import baseline_forecasts, to_long
 from velotide.operators.grid import hourly_counts
 from velotide.settings import AVERAGE, NAIVE, TARGETS
@@ -173,3 +174,105 @@ def all_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that are scored: hours in service."""
     return all_predictions(spark, sf_dir).filter("in_service")
+
+
+def _raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips as text with planted defects: copies, bad times, padded or missing stations."""
+    event = F.col("ride_id").cast("bigint")
+    missing, padded = event % 83 == 0, event % 11 == 0
+
+    def station(end: str) -> Column:
+        name = F.col(f"{end}_station_id")
+        name = F.when(padded, F.concat(F.lit("  "), name, F.lit("\t"))).otherwise(name)
+        return F.when(missing, "").otherwise(F.coalesce(name, F.lit("")))
+
+    def position(base: float, end: str) -> Column:
+        i = F.substring(F.col(f"{end}_station_id"), 2, 9).cast("int")
+        value = (F.lit(base) + (i % 10) * 0.01).cast("string")
+        return F.when(F.col("k") % 29 == 0, "n/a").otherwise(F.coalesce(value, F.lit("")))
+
+    copies = F.sequence(F.lit(0), F.when((event % 50).isin(0, 9), 1).otherwise(0))
+    return trips(spark, sf_dir).select(
+        event.alias("event"),
+        F.explode(copies).alias("copy"),
+        F.when(event % 97 == 0, "not a time")
+        .otherwise(F.col("started_at").cast("string"))
+        .alias("started"),
+        F.col("ended_at").cast("string").alias("ended"),
+        "ride_id",
+        "rideable_type",
+        station("start").alias("start_id"),
+        station("end").alias("end_id"),
+        F.when(event % 89 == 0, "Riverside Test Station")
+        .when(F.col("k") % 31 == 0, "Contest Plaza")
+        .otherwise("Main Street")
+        .alias("start_name"),
+        F.lit(" Square Annex ").alias("end_name"),
+        position(42.36, "start").alias("start_lat"),
+        position(-71.06, "start").alias("start_lng"),
+        position(42.36, "end").alias("end_lat"),
+        position(-71.06, "end").alias("end_lng"),
+        "member_type",
+        "k",
+    )
+
+
+def raw_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that stand in files of the new schema, all text, with their origin."""
+    return (
+        _raw_rows(spark, sf_dir)
+        .filter(F.col("event") % 10 != 9)
+        .select(
+            "ride_id",
+            "rideable_type",
+            F.col("started").alias("started_at"),
+            F.col("ended").alias("ended_at"),
+            F.col("start_name").alias("start_station_name"),
+            F.col("start_id").alias("start_station_id"),
+            F.col("end_name").alias("end_station_name"),
+            F.col("end_id").alias("end_station_id"),
+            "start_lat",
+            "start_lng",
+            "end_lat",
+            "end_lng",
+            F.col("member_type").alias("member_casual"),
+            F.lit("new").alias("source_file"),
+            F.struct("event", "copy").alias("row_order"),
+        )
+    )
+
+
+def raw_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that stand in files of the legacy schema."""
+    user = (
+        F.when(F.col("k") % 23 == 0, "Guest")
+        .when(F.col("member_type") == "member", "Subscriber")
+        .otherwise("Customer")
+    )
+    return (
+        _raw_rows(spark, sf_dir)
+        .filter(F.col("event") % 10 == 9)
+        .select(
+            F.lit("0").alias("tripduration"),
+            F.col("started").alias("starttime"),
+            F.col("ended").alias("stoptime"),
+            F.col("start_id").alias("start station id"),
+            F.col("start_name").alias("start station name"),
+            F.col("start_lat").alias("start station latitude"),
+            F.col("start_lng").alias("start station longitude"),
+            F.col("end_id").alias("end station id"),
+            F.col("end_name").alias("end station name"),
+            F.col("end_lat").alias("end station latitude"),
+            F.col("end_lng").alias("end station longitude"),
+            F.lit("1").alias("bikeid"),
+            user.alias("usertype"),
+            F.lit("").alias("postal code"),
+            F.lit("legacy").alias("source_file"),
+            F.struct("event", "copy").alias("row_order"),
+        )
+    )
+
+
+def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both raw schemas as one typed table, defects still in it."""
+    return normalize(raw_new(spark, sf_dir)).unionByName(normalize(raw_legacy(spark, sf_dir)))

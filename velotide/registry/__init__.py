@@ -7,6 +7,7 @@ from importlib import import_module
 from velotide.registry.base import ORACLES, QUERIES
 
 SECTIONS = (
+    "cleaning",
     "grid",
     "forecast",
     "report",
