@@ -164,18 +164,22 @@ def with_idle_runs(hourly: DataFrame) -> DataFrame:
     stays constant along a run of idle hours, so it names the run. Both windows share the
     station partitioning: the rows of one station are its hours, however many trips it has.
     """
-    by_station = Window.partitionBy("station_id").orderBy("ts")
+    so_far = (
+        Window.partitionBy("station_id")
+        .orderBy("ts")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     run = Window.partitionBy("station_id", "busy_before", "idle")
+    idle = (F.col("departures") == 0) & (F.col("arrivals") == 0)
+    busy_before = F.count_if(~idle).over(so_far)
     return (
-        hourly.withColumn("idle", (F.col("departures") == 0) & (F.col("arrivals") == 0))
-        .withColumn(
-            "busy_before",
-            F.sum((~F.col("idle")).cast("int")).over(
-                by_station.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
+        hourly.withColumns({"idle": idle, "busy_before": busy_before})
+        .withColumns(
+            {
+                "run_start": F.when(F.col("idle"), F.min("ts").over(run)),
+                "run_end": F.when(F.col("idle"), F.max("ts").over(run)),
+            }
         )
-        .withColumn("run_start", F.when(F.col("idle"), F.min("ts").over(run)))
-        .withColumn("run_end", F.when(F.col("idle"), F.max("ts").over(run)))
         .drop("idle", "busy_before")
     )
 

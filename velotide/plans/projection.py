@@ -152,15 +152,13 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_blend(wide: DataFrame) -> DataFrame:
     """A third model, the mean of both baselines, with an interval of two bikes each way."""
-    out = wide
+    columns = {}
     for t in TARGETS:
         mean = (F.col(f"{t}_{NAIVE}") + F.col(f"{t}_{AVERAGE}")) / 2
-        out = (
-            out.withColumn(f"{t}_{BLEND}", mean)
-            .withColumn(f"{t}_{BLEND}_lower", F.greatest(F.lit(0.0), mean - 2))
-            .withColumn(f"{t}_{BLEND}_upper", mean + 2)
-        )
-    return out
+        columns[f"{t}_{BLEND}"] = mean
+        columns[f"{t}_{BLEND}_lower"] = F.greatest(F.lit(0.0), mean - 2)
+        columns[f"{t}_{BLEND}_upper"] = mean + 2
+    return wide.withColumns(columns)
 
 
 def all_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

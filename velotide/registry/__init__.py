@@ -8,6 +8,7 @@ from velotide.registry.base import ORACLES, QUERIES
 
 SECTIONS = (
     "cleaning",
+    "stations",
     "grid",
     "forecast",
     "report",
