@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velotide.session import materialize
+
 # Bins per unit at each step. A window orders at most this many bins of one group: 360 degrees at
 # 4,096 bins each, then 2^18 bins within one of those, then the doubles within 2^-30 of a unit.
 STEPS = (2**12, 2**30)
@@ -50,7 +52,8 @@ def exact_median(values: DataFrame, group: list[str]) -> DataFrame:
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         before = F.col("seen") - F.col("weight")
-        target = (
+        # Two rows per group, used twice in the next step: written once, not planned twice.
+        target = materialize(
             reached.withColumn("seen", F.sum("weight").over(so_far))
             .filter((before < F.col("rank")) & (F.col("rank") <= F.col("seen")))
             .select(*group, *within, name, "side", (F.col("rank") - before).alias("rank"))

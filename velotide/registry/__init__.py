@@ -10,6 +10,8 @@ SECTIONS = (
     "cleaning",
     "stations",
     "grid",
+    "dims",
+    "features",
     "forecast",
     "report",
 )
