@@ -274,3 +274,36 @@ def raw_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both raw schemas as one typed table, defects still in it."""
     return normalize(raw_new(spark, sf_dir)).unionByName(normalize(raw_legacy(spark, sf_dir)))
+
+
+def station_info(spark: SparkSession, sf_dir: str, top_n: int = 15) -> DataFrame:
+    """Name, position and first-week volume of each station; one of them has no name."""
+    inside = (F.col("started_at") >= naive(RANK[0])) & (F.col("started_at") < naive(RANK[1]))
+    volumes = (
+        valid_trips(spark, sf_dir)
+        .filter(inside)
+        .select(F.explode(F.array("start_station_id", "end_station_id")).alias("canonical_id"))
+        .filter("canonical_id IS NOT NULL")
+        .groupBy("canonical_id")
+        .agg(F.count("*").alias("rank_volume"))
+    )
+    i = F.substring("canonical_id", 2, 9).cast("int")
+    kind = (
+        F.when(i % 4 == 0, "MIT Lab ")
+        .when(i % 4 == 1, "Harvard Yard ")
+        .when(i % 4 == 2, "Summit Road ")
+        .when(i != 7, "Harbor Point ")
+    )
+    top = (
+        volumes.orderBy(F.desc("rank_volume"), "canonical_id")
+        .limit(top_n)
+        .select("canonical_id", F.lit(True).alias("top"))
+    )
+    return volumes.join(top, "canonical_id", "left").select(
+        "canonical_id",
+        F.concat(kind, i.cast("string")).alias("name"),
+        (42.36 + (i % 10) * 0.01).alias("lat"),
+        (-71.06 + (i % 3) * 0.01).alias("lng"),
+        "rank_volume",
+        F.coalesce("top", F.lit(False)).alias("is_top"),
+    )

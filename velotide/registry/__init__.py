@@ -14,6 +14,8 @@ SECTIONS = (
     "features",
     "forecast",
     "report",
+    "analysis",
+    "explore",
 )
 
 
