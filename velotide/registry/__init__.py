@@ -13,9 +13,11 @@ SECTIONS = (
     "dims",
     "features",
     "forecast",
+    "models",
     "report",
     "analysis",
     "explore",
+    "sources",
 )
 
 

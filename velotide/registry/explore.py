@@ -170,8 +170,8 @@ def _(spark, sf):
     return X.temperature_curve(daily(spark, sf), min_days=2)
 
 
-# The only month has too few dry days for a monthly effect at some scales: the weekday takes the
-# month's place, and 60 mm (scaled) the place of 1 mm.
+# There is only one month, and it has no dry day at some scales: the weekday takes the month's
+# place, and the median of the daily precipitation the place of 1 mm.
 CTES["wet"] = """
     SELECT dow, avg(departures) FILTER (WHERE wet) AS rainy,
            avg(departures) FILTER (WHERE NOT wet) AS dry

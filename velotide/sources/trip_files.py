@@ -125,13 +125,15 @@ def _unified_text(member, path: str) -> Iterator[pd.DataFrame]:
 
 
 def read_trips(spark: SparkSession, path: str) -> DataFrame:
-    """The cleaned trips of all months."""
-    return spark.read.parquet(path)
+    """The cleaned trips of all months, or of those that a pattern below ``path`` names."""
+    base = path.split("/month=")[0]
+    stored = spark.read.option("basePath", base).parquet(path)
+    return stored.withColumn("month", F.col("month").cast("string"))
 
 
 def month_of_trip_file(column: Column) -> Column:
-    """YYYYMM out of a file name such as ``trips_202401.parquet`` or ``202401.csv``."""
-    return F.regexp_extract(column, r"(\d{6})[^/]*$", 1)
+    """YYYYMM out of a path such as ``raw/202401.csv`` or ``raw/trips=202401/part-0.csv``."""
+    return F.regexp_extract(column, r"(?:^|/|_|=)(\d{6})(?:\.|-|_|/)", 1)
 
 
 def data_range(months: DataFrame) -> DataFrame:
