@@ -12,7 +12,7 @@ import math
 from datetime import date, datetime
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +155,9 @@ def _with_levels(samples: DataFrame, levels: tuple[DataFrame, DataFrame]) -> Dat
 def _estimator(loss: str) -> Pipeline:
     stages = [
         OneHotEncoder(inputCols=["slot", "dow"], outputCols=["slot_v", "dow_v"], handleInvalid="keep"),
-        VectorAssembler(inputCols=[*NUMERIC, "slot_v", "dow_v"], outputCol="features"),
+        VectorAssembler(inputCols=[*NUMERIC, "slot_v", "dow_v"], outputCol="all_features"),
+        # Columns that never change in training (the month in a short history) fit nothing.
+        VarianceThresholdSelector(featuresCol="all_features", outputCol="features"),
     ]
     common = {"featuresCol": "features", "weightCol": "weight", "predictionCol": "raw"}
     if loss == "poisson":
