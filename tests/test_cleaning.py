@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from velotide.functions.columns import strip_to_null
 from velotide.operators import cleaning as C
 from velotide.sources.trip_files import read_raw_csv
 
@@ -133,4 +134,21 @@ def test_distinct_trips_keeps_reused_ids_and_unnamed_rows(spark):
     rows = [("A", t, 1), ("A", t, 1), ("B", t, 1), ("B", later, 1), (None, t, 1), (None, t, 2),
             (None, t, 2)]
     trips = spark.createDataFrame(rows, "ride_id string, started_at timestamp_ntz, n int")
-    assert C.distinct_trips(trips).count() == 5
+    few = C.distinct_trips(trips)
+    many = C.distinct_trips(trips, max_suspects=0)
+    key = lambda r: repr(tuple(r))
+    assert few.count() == 5 and sorted(few.collect(), key=key) == sorted(many.collect(), key=key)
+
+
+def test_strip_knows_every_white_space(spark):
+    df = spark.createDataFrame([("\u2003a b\xa0\n",), (" \t\u3000",), (None,)], "t string")
+    assert [r[0] for r in df.select(strip_to_null(F.col("t"))).collect()] == ["a b", None, None]
+
+
+def test_times_are_cut_to_milliseconds(spark):
+    texts = ["2024-03-10 02:30:59.999999", "2024-03-10T02:30:00.0015", "1969-12-31 23:59:59.123456",
+             "2024-03-10", "", "n/a", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(C.parse_time(F.col("t"))).collect()] == [
+        datetime(2024, 3, 10, 2, 30, 59, 999000), datetime(2024, 3, 10, 2, 30, 0, 1000),
+        datetime(1969, 12, 31, 23, 59, 59, 123000), datetime(2024, 3, 10), None, None, None]

@@ -42,9 +42,8 @@ def hour_floor(ts: Column) -> Column:
 
 def floor_millis(ts: Column) -> Column:
     """Drop everything below one millisecond."""
-    second = F.expr("0").cast("decimal(8,6)") + F.date_part(F.lit("SECOND"), ts)
-    below = second - F.floor(second * 1000) / F.lit(1000).cast("decimal(8,0)")
-    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), below.cast("decimal(18,6)"))
+    micros = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint") % 1000
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros / F.lit(1e6).cast("decimal(18,6)"))
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
@@ -52,9 +51,16 @@ def elapsed_seconds(start: Column, end: Column) -> Column:
     return (end - start).cast("bigint")
 
 
+# Everything that counts as white space: ASCII controls, no-break and typographic spaces.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_to_null(text: Column) -> Column:
     """Strip white space of every kind at both ends; what is then empty is NULL."""
-    return F.nullif(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(text, F.lit(WHITE_SPACE)), F.lit(""))
 
 
 def name_key(name: Column) -> Column:

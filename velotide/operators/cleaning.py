@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velotide.functions.columns import days, floor_millis, seconds, strip_to_null
+from velotide.session import materialize
 
 # The unified table, the names in the legacy files, and what cannot be a station.
 UNIFIED_COLUMNS = (
@@ -56,6 +57,9 @@ RULES = (
     "no_station",
 )
 
+# Hashes of repeated trips to broadcast at most: 8 bytes each, some tens of megabytes as a table.
+MAX_SUSPECTS = 1_000_000
+
 TIME_COLUMNS = ("started_at", "ended_at")
 NUMBER_COLUMNS = ("start_lat", "start_lng", "end_lat", "end_lng")
 ORIGIN = ("source_file", "row_order")
@@ -176,16 +180,36 @@ def apply_rules(trips: DataFrame, file_column: str = "source_file") -> tuple[Dat
     return kept_rows(labelled), removed_counts(labelled, file_column)
 
 
-def distinct_trips(trips: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def _fold(trips: DataFrame, keys: list[str], whole_row: Column) -> DataFrame:
+    rest = [c for c in trips.columns if c not in keys]
+    folded = trips.groupBy(*keys, whole_row.alias("_key")).agg(F.min(F.struct(*rest)).alias("_row"))
+    order = [F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in trips.columns]
+    return folded.select(*order)
+
+
+def distinct_trips(
+    trips: DataFrame, keys: list[str] | None = None, max_suspects: int = MAX_SUSPECTS
+) -> DataFrame:
     """One row per key across all files: (ride_id, started_at) unless told otherwise.
 
     The smallest remaining row is kept, so the choice does not depend on file order. A row whose
-    first key is NULL is only a copy of a row that is equal in everything. Copies are folded on
-    the map side, whatever their number.
+    first key is NULL is only a copy of a row that is equal in everything.
+
+    Copies are rare among trips, so whole rows are not shuffled to find them. A first pass counts
+    64-bit hashes of the keys. Rows whose hash is unique are unique and pass through; the others,
+    true copies and the odd collision, are compared by their keys, folded on the map side first,
+    as one trip may be repeated any number of times. When more hashes repeat than may be
+    broadcast, all rows are folded in one shuffle instead.
     """
     keys = keys or ["ride_id", "started_at"]
     rest = [c for c in trips.columns if c not in keys]
     whole_row = F.when(F.col(keys[0]).isNull(), F.struct(*rest))
-    folded = trips.groupBy(*keys, whole_row.alias("_key")).agg(F.min(F.struct(*rest)).alias("_row"))
-    order = [F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in trips.columns]
-    return folded.select(*order)
+    hashed = trips.withColumn("_hash", F.xxhash64(*keys, whole_row))
+    counted = hashed.groupBy("_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    suspects = materialize(counted.select("_hash"))
+    if suspects.count() > max_suspects:
+        return _fold(trips, keys, whole_row)
+    known = F.broadcast(suspects)
+    unique = hashed.join(known, "_hash", "left_anti").drop("_hash")
+    copied = hashed.join(known, "_hash", "left_semi").drop("_hash")
+    return unique.unionByName(_fold(copied, keys, whole_row))

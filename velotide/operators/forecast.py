@@ -8,37 +8,24 @@ forecast hour turns what arrives into both baselines and the actual.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velotide.functions.columns import days, hours, midnight
+from velotide.functions.columns import days, hours
 from velotide.operators.grid import forecast_days, in_service, open_as_of, with_idle_runs
 from velotide.settings import AVERAGE, CLOSED_MIN_HOURS, HISTORY_WEEKS, NAIVE, TARGETS
 
 
-def _slots(week_starts: list, weeks: int) -> Column:
-    """The forecast hours that an hour informs: k weeks later, k = 0..weeks, on a forecast day.
-
-    k = 0 is the hour itself, which carries the actual.
-    """
-    wanted = forecast_days(week_starts)
-    own_day = midnight(F.col("ts"))
-    reached = F.filter(
-        wanted,
-        lambda w: (w["day"] >= own_day)
-        & (w["day"] <= own_day + days(7 * weeks))
-        & (F.weekday(w["day"]) == F.weekday(own_day)),
-    )
-    return F.transform(
-        reached,
-        lambda w: F.struct(
-            w["test_week"].alias("test_week"),
-            w["day"].alias("day"),
-            (F.datediff(F.to_date(w["day"]), F.to_date(own_day)) / 7).cast("int").alias("back"),
-        ),
-    )
+def reached_days(spark: SparkSession, week_starts: list, backs: Iterable[int]) -> DataFrame:
+    """For each date, the forecast days it informs: (date, test_week, day, back), where the day is
+    ``back`` days later. A handful of rows per forecast day, set by the parameters alone."""
+    steps = F.array(*[F.lit(b) for b in backs])
+    return spark.range(1).select(F.inline(forecast_days(week_starts))).select(
+        "test_week", "day", F.explode(steps).alias("back")
+    ).select("*", F.date_sub(F.to_date("day"), F.col("back")).alias("date"))
 
 
 def baseline_forecasts(
@@ -63,7 +50,10 @@ def baseline_forecasts(
         runs = with_idle_runs(hourly.drop("in_service"))
         open_then = open_as_of(F.col("day"), min_hours)
         final = in_service(min_hours)
-    sent = runs.select("*", F.inline(_slots(week_starts, weeks))).select(
+    # The day itself carries the actual; the same weekday of the weeks before carries history.
+    reach = reached_days(hourly.sparkSession, week_starts, range(0, 7 * weeks + 1, 7))
+    dated = runs.withColumn("date", F.to_date("ts")).join(F.broadcast(reach), "date")
+    sent = dated.select(
         "station_id",
         "test_week",
         (F.col("day") + hours(F.hour("ts"))).alias("slot"),
@@ -74,7 +64,7 @@ def baseline_forecasts(
     )
     current = F.col("back") == 0
     usable = (F.col("back") >= 1) & F.col("open_then")
-    last_week = usable & (F.col("back") == 1)
+    last_week = usable & (F.col("back") == 7)
     aggregates = [
         F.count_if(current).alias("actual_rows"),
         F.max(F.when(current, F.col("final"))).alias("in_service"),
@@ -157,7 +147,8 @@ def attach_actuals(hourly: DataFrame, forecasts: DataFrame, model: str) -> DataF
         for c in (t, f"{t}_lower", f"{t}_upper")
         if c in forecasts.columns
     }
-    wanted = forecasts.select("test_week", "station_id", "ts", *[F.col(c).alias(n) for c, n in names.items()])
+    renamed = [F.col(c).alias(n) for c, n in names.items()]
+    wanted = forecasts.select("test_week", "station_id", "ts", *renamed)
     actual = hourly.select(
         "station_id", "ts", "in_service", *[F.col(t).alias(f"{t}_y") for t in TARGETS]
     )

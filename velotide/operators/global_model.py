@@ -27,7 +27,8 @@ from velotide.operators.features import (
     weather_scaling,
     with_closed_share,
 )
-from velotide.operators.grid import forecast_days, open_as_of, visible_before, with_idle_runs
+from velotide.operators.forecast import reached_days
+from velotide.operators.grid import open_as_of, visible_before, with_idle_runs
 from velotide.session import materialize
 from velotide.settings import CLOSED_MIN_HOURS, TARGETS
 
@@ -43,17 +44,13 @@ NUMERIC = (*(f"own_{c}" for c in OWN), *(f"other_{c}" for c in OWN), *HOURLY_WEA
 
 def closed_share_as_of(hourly: DataFrame, week_starts: list, min_hours: int) -> DataFrame:
     """Closed share on D-1 and D-7 per station and forecast day, with the mask as of D."""
-    own_day = midnight(F.col("ts"))
-    wanted = F.filter(
-        forecast_days(week_starts),
-        lambda w: (w["day"] == own_day + days(1)) | (w["day"] == own_day + days(7)),
-    )
-    rows = with_idle_runs(hourly.drop("in_service")).select("*", F.inline(wanted))
+    reach = reached_days(hourly.sparkSession, week_starts, (1, 7))
+    runs = with_idle_runs(hourly.drop("in_service")).withColumn("date", F.to_date("ts"))
+    rows = runs.join(F.broadcast(reach), "date")
     closed = (~open_as_of(F.col("day"), min_hours)).cast("int")
-    back = F.datediff(F.to_date("day"), F.to_date("ts"))
     return rows.groupBy("station_id", "test_week", "day").agg(
-        F.avg(F.when(back == 1, closed)).alias("closed_d1"),
-        F.avg(F.when(back == 7, closed)).alias("closed_d7"),
+        F.avg(F.when(F.col("back") == 1, closed)).alias("closed_d1"),
+        F.avg(F.when(F.col("back") == 7, closed)).alias("closed_d7"),
     )
 
 

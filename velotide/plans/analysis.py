@@ -54,9 +54,15 @@ def daily_errors(preds: DataFrame, weather_actual: DataFrame) -> DataFrame:
     ``actual_trips`` adds up the actuals of every model's rows, so it grows with the number of
     models; ``model_trips`` is the total of the model's own rows.
     """
-    per_model = preds.groupBy("date", "model").agg(
-        M.mae().alias("mae"),
-        F.sum("y").alias("model_trips"),
+    # Holidays are constant within a day: as grouping keys they leave only numbers to aggregate.
+    folded = preds.groupBy("date", "model", "is_holiday", "holiday_name").agg(
+        F.sum(F.abs(F.col("y") - F.col("yhat"))).alias("_miss"),
+        F.sum("y").alias("_y"),
+        F.count("*").alias("_n"),
+    )
+    per_model = folded.groupBy("date", "model").agg(
+        (F.sum("_miss") / F.sum("_n")).alias("mae"),
+        F.sum("_y").alias("model_trips"),
         F.min(F.col("is_holiday").cast("int")).alias("_holiday"),
         F.min("holiday_name").alias("_name"),
     )

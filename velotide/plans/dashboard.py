@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velotide.plans.analysis import net_flow
@@ -73,9 +73,10 @@ def map_rows(flow: DataFrame, info: DataFrame) -> DataFrame:
 
 def day_context(preds: DataFrame) -> DataFrame:
     """Per day: the holiday, if it is one, and whether it rained."""
-    rainy: Column = F.bool_or(F.coalesce(F.col("weather") == "rainy", F.lit(False)))
-    return preds.groupBy("date").agg(
-        F.min("holiday_name").alias("holiday_name"), rainy.alias("rainy")
+    seen = preds.select("date", "holiday_name", "weather").distinct()
+    rainy = F.coalesce(F.col("weather") == "rainy", F.lit(False))
+    return seen.groupBy("date").agg(
+        F.min("holiday_name").alias("holiday_name"), F.bool_or(rainy).alias("rainy")
     )
 
 
