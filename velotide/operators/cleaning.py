@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velotide.functions.columns import days, floor_millis, seconds, strip_to_null
-from velotide.session import materialize
+from velotide.session import BROADCAST_ROWS, materialize
 
 # The unified table, the names in the legacy files, and what cannot be a station.
 UNIFIED_COLUMNS = (
@@ -57,9 +57,6 @@ RULES = (
     "no_station",
 )
 
-# Hashes of repeated trips to broadcast at most: 8 bytes each, some tens of megabytes as a table.
-MAX_SUSPECTS = 1_000_000
-
 TIME_COLUMNS = ("started_at", "ended_at")
 NUMBER_COLUMNS = ("start_lat", "start_lng", "end_lat", "end_lng")
 ORIGIN = ("source_file", "row_order")
@@ -188,7 +185,7 @@ def _fold(trips: DataFrame, keys: list[str], whole_row: Column) -> DataFrame:
 
 
 def distinct_trips(
-    trips: DataFrame, keys: list[str] | None = None, max_suspects: int = MAX_SUSPECTS
+    trips: DataFrame, keys: list[str] | None = None, max_suspects: int = BROADCAST_ROWS
 ) -> DataFrame:
     """One row per key across all files: (ride_id, started_at) unless told otherwise.
 

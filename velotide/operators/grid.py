@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velotide.functions.columns import days, hour_floor, hours, naive
+from velotide.session import small_side
 from velotide.settings import CLOSED_MIN_HOURS, SYSTEM_ID
 
 
@@ -59,7 +60,7 @@ def to_canonical(ends: DataFrame, crosswalk: DataFrame | None) -> DataFrame:
     """Replace raw IDs by canonical ones; ends without an entry drop out, as in an inner join."""
     if crosswalk is None:
         return ends
-    return ends.join(crosswalk, "station_id").select(
+    return ends.join(small_side(crosswalk), "station_id").select(
         F.col("canonical_id").alias("station_id"), "ts", "departure"
     )
 
@@ -97,7 +98,7 @@ def hourly_counts(
     """
     ends = to_canonical(trip_end_hours(trips, start, end), crosswalk)
     if selective:
-        ends = ends.join(stations.select("station_id"), "station_id", "left_semi")
+        ends = ends.join(small_side(stations.select("station_id")), "station_id", "left_semi")
     ends = ends.select(
         "station_id",
         "ts",

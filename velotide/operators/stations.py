@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from velotide.functions.columns import EARTH_RADIUS_M, haversine_m, name_key, naive
 from velotide.functions.quantiles import exact_median
-from velotide.session import materialize
+from velotide.session import materialize, small_side
 from velotide.settings import RANK_END, RANK_START, TOP_STATIONS
 
 # Limits of the merge rules.
@@ -43,23 +43,29 @@ def trip_ends(trips: DataFrame) -> DataFrame:
 def station_positions(ends: DataFrame) -> DataFrame:
     """Median position per station: of classic bikes, which report the dock, else of all bikes.
 
-    Positions are folded to distinct values first. Which bikes count is decided per coordinate,
-    as some station may have classic bikes without one of them.
+    Which bikes count is decided per coordinate, as some station may have classic bikes without
+    one of them. Classic bikes repeat few positions, so they fold to little before the shuffle;
+    the drifting positions of other bikes are only taken along where there is nothing else.
     """
     classic = F.coalesce(F.col("rideable_type") == "classic_bike", F.lit(False))
-    coordinates = F.array(
-        F.struct(F.lit("lat").alias("axis"), F.col("lat").alias("value")),
-        F.struct(F.lit("lng").alias("axis"), F.col("lng").alias("value")),
+    with_dock = small_side(
+        ends.filter(classic)
+        .groupBy("station_id")
+        .agg(*[(F.count(c) > 0).alias(f"dock_{c}") for c in ("lat", "lng")])
     )
-    folded = materialize(
-        ends.select("station_id", classic.alias("classic"), F.inline(coordinates))
+
+    def taken(c: str) -> Column:
+        use = classic | ~F.coalesce(f"dock_{c}", F.lit(False))
+        return F.struct(F.lit(c).alias("axis"), F.when(use, F.col(c)).alias("value"))
+
+    weighted = (
+        ends.join(with_dock, "station_id", "left")
+        .select("station_id", F.inline(F.array(taken("lat"), taken("lng"))))
         .filter("value IS NOT NULL")
-        .groupBy("station_id", "axis", "classic", "value")
+        .groupBy("station_id", "axis", "value")
         .agg(F.count("*").alias("weight"))
     )
-    by_classic = folded.groupBy("station_id", "axis").agg(F.bool_or("classic").alias("any_classic"))
-    used = folded.join(by_classic, ["station_id", "axis"]).filter("classic OR NOT any_classic")
-    medians = exact_median(used, ["station_id", "axis"])
+    medians = exact_median(materialize(weighted), ["station_id", "axis"])
     return medians.groupBy("station_id").agg(
         F.max(F.when(F.col("axis") == "lat", F.col("median"))).alias("lat"),
         F.max(F.when(F.col("axis") == "lng", F.col("median"))).alias("lng"),

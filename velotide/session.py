@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of a few narrow columns that may be broadcast: at most some tens of megabytes.
+BROADCAST_ROWS = 1_000_000
 
 
 def build_session(app: str = "velotide", master: str | None = None, **conf: str) -> SparkSession:
@@ -16,6 +20,7 @@ def build_session(app: str = "velotide", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -52,6 +57,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A side of a join that should be small, written once and counted: broadcast when it is.
+
+    Meant for joins straight onto a scan of trips. There the adaptive planner would learn the size
+    of this side only after the other one, with all its weight on one busy station, was shuffled.
+    Beyond the bound the join is left to the planner and its handling of skew.
+    """
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder, for tables that pass between two stages."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
