@@ -76,8 +76,8 @@ def parse_time(text: Column) -> Column:
     return floor_millis(F.trim(text).try_cast("timestamp_ntz"))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """The unified, typed columns of one raw table of strings. Drops no row.
+def unify_names(raw: DataFrame) -> DataFrame:
+    """One raw table of strings under the unified names, still as text, with its schema.
 
     Columns that say where a row came from (``source_file``, ``row_order``) pass through.
     """
@@ -88,17 +88,33 @@ def normalize(raw: DataFrame) -> DataFrame:
     for name in UNIFIED_COLUMNS:
         source = actual.get(renamed.get(name, name))
         text = F.lit(None).cast("string") if source is None else F.col(f"`{source}`")
+        out.append(text.alias(name))
+    origin = [c for c in ORIGIN if c in raw.columns]
+    return raw.select(*out, *origin, F.lit(kind).alias("schema_kind"))
+
+
+def to_types(text: DataFrame) -> DataFrame:
+    """Typed columns from unified text. What cannot be parsed is NULL; no row is dropped."""
+    member = F.col("member_type")
+    (first, as_first), (second, as_second) = LEGACY_MEMBERS
+    legacy = F.when(member == first, as_first).when(member == second, as_second)
+    out = []
+    for name in UNIFIED_COLUMNS:
         if name in TIME_COLUMNS:
-            value = parse_time(text)
+            value = parse_time(F.col(name))
         elif name in NUMBER_COLUMNS:
-            value = F.trim(text).try_cast("double")
-        elif name == "member_type" and kind == "legacy":
-            (first, as_first), (second, as_second) = LEGACY_MEMBERS
-            value = F.when(text == first, as_first).when(text == second, as_second)
+            value = F.trim(name).try_cast("double")
+        elif name == "member_type":
+            value = F.when(F.col("schema_kind") == "legacy", legacy).otherwise(strip_to_null(member))
         else:
-            value = strip_to_null(text)
+            value = strip_to_null(F.col(name))
         out.append(value.alias(name))
-    return raw.select(*out, *[c for c in ORIGIN if c in raw.columns])
+    return text.select(*out, *[c for c in text.columns if c not in (*UNIFIED_COLUMNS, "schema_kind")])
+
+
+def normalize(raw: DataFrame) -> DataFrame:
+    """The unified, typed columns of one raw table of strings."""
+    return to_types(unify_names(raw))
 
 
 def is_staff_station(station_id: Column, name: Column) -> Column:

@@ -94,11 +94,8 @@ def _zip_batches(batches):
 
 
 @query("a4_zipped_csv", with_ctes("""
-    SELECT 'new' AS schema_kind, ride_id, started_at, start_station_id, end_station_id, start_lat
-    FROM unified WHERE source_file = 'new'
-    UNION ALL
-    SELECT 'legacy', ride_id, started_at, start_station_id, end_station_id, start_lat
-    FROM unified WHERE source_file = 'legacy'"""), doubles="start_lat")
+    SELECT source_file AS schema_kind, ride_id, started_at, start_station_id, end_station_id,
+           start_lat, member_type FROM unified"""), doubles="start_lat")
 def _(spark, sf):
     """Both schemas packed into archives, one per batch of rows, and unpacked again."""
     archives = None
@@ -108,14 +105,11 @@ def _(spark, sf):
         )
         archives = packed if archives is None else archives.unionByName(packed)
     text = TF.unzip_trips(archives)
-    return text.select(
-        "schema_kind",
-        C.strip_to_null(F.col("ride_id")).alias("ride_id"),
-        C.parse_time(F.col("started_at")).alias("started_at"),
-        C.strip_to_null(F.col("start_station_id")).alias("start_station_id"),
-        C.strip_to_null(F.col("end_station_id")).alias("end_station_id"),
-        F.trim("start_lat").try_cast("double").alias("start_lat"),
-    )
+    typed = C.to_types(text.withColumn("kind", F.col("schema_kind")))
+    return typed.select(
+        F.col("kind").alias("schema_kind"),
+        "ride_id", "started_at", "start_station_id", "end_station_id", "start_lat", "member_type",
+    )
 
 
 def monthly_trips(spark, sf):
