@@ -122,9 +122,8 @@ def with_cell(points: DataFrame, radius_m: float) -> DataFrame:
     neighbouring cells, also across the date line."""
     height = math.degrees(radius_m / EARTH_RADIUS_M) * 1.001
     band = _band(F.col("lat"), height)
-    return points.withColumn(
-        "cell", F.struct(band.alias("band"), _column(F.col("lng"), _columns_in_band(band, height)).alias("col"))
-    )
+    column = _column(F.col("lng"), _columns_in_band(band, height))
+    return points.withColumn("cell", F.struct(band.alias("band"), column.alias("col")))
 
 
 def with_near_cells(points: DataFrame, radius_m: float) -> DataFrame:
@@ -147,24 +146,25 @@ def with_near_cells(points: DataFrame, radius_m: float) -> DataFrame:
 def _pairs_by_cell(left: DataFrame, right: DataFrame, keys: list[str], condition: Column) -> DataFrame:
     """Join on ``keys`` with a condition, splitting crowded keys into slices.
 
-    The right side of a crowded key is cut into slices that each meet the whole left side of the
-    key, so that no task compares more than about ``PAIRS_PER_TASK`` pairs; pairs that fail the
-    condition never leave the join. Keys that are not crowded have one slice.
+    Pairs that fail the condition never leave the join. Where a key has more than
+    ``PAIRS_PER_TASK`` pairs to compare, its right side is cut into slices that each meet the
+    whole left side of the key. Mostly no key is crowded, and the join is a plain one.
     """
-    crowd_l = left.groupBy(*keys).agg(F.count("*").alias("n_left"))
-    crowd_r = right.groupBy(*keys).agg(F.count("*").alias("n_right"))
-    slices = crowd_l.join(crowd_r, keys).select(
-        *keys,
-        F.greatest(
-            F.lit(1).cast("bigint"),
-            F.least(F.ceil(F.col("n_left") * F.col("n_right") / PAIRS_PER_TASK), F.col("n_right")),
-        ).alias("slices"),
-    )
-    sliced_left = left.join(slices, keys).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))
+    in_left = left.groupBy(*keys).agg(F.count("*").alias("n_left"))
+    in_right = right.groupBy(*keys).agg(F.count("*").alias("n_right"))
+    pairs = F.col("n_left") * F.col("n_right")
+    crowded = materialize(
+        in_left.join(in_right, keys)
+        .filter(pairs > PAIRS_PER_TASK)
+        .select(*keys, F.least(F.ceil(pairs / PAIRS_PER_TASK), F.col("n_right")).alias("slices"))
     )
-    sliced_right = right.join(slices, keys).withColumn(
-        "slice", F.pmod(F.xxhash64("b.station_id"), F.col("slices"))
+    if crowded.isEmpty():
+        return left.join(right, keys).filter(condition)
+    slices = F.coalesce("slices", F.lit(1).cast("bigint"))
+    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))
+    sliced_left = left.join(crowded, keys, "left").withColumn("slice", numbers)
+    sliced_right = right.join(crowded, keys, "left").withColumn(
+        "slice", F.pmod(F.xxhash64("b.station_id"), slices)
     )
     both = [*keys, "slice"]
     return sliced_left.drop("slices").join(sliced_right.drop("slices"), both).filter(condition)

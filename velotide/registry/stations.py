@@ -97,7 +97,7 @@ def stats(spark, sf):
 
 
 def crosswalk_of(station_stats):
-    merges = S.find_merges(station_stats, GHOST_DAYS)
+    merges = materialize(S.find_merges(station_stats, GHOST_DAYS))
     return merges, S.build_crosswalk(station_stats, merges)
 
 
