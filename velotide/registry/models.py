@@ -25,9 +25,9 @@ WEEKS = list(P.WEEKS)
 
 
 def filled_weather(spark, sf):
-    """The hourly readings on the whole grid, short gaps filled."""
+    """The hourly readings on the whole grid. The smallest tables have gaps of most of a day."""
     spine = G.hour_spine(spark, P.START, P.END)
-    return W.interpolate(spine.join(P.weather(spark, sf), "ts", "left"))
+    return W.interpolate(spine.join(P.weather(spark, sf), "ts", "left"), limit=24)
 
 
 def regressors(spark, sf):
