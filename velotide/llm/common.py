@@ -37,6 +37,11 @@ def id_fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % folds
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: the only element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:

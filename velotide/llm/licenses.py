@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velotide.llm.common import let
+
 SHINGLE = 5
 CONTAINED = 0.8
 BANDS, ROWS = 20, 2  # a window with Jaccard 0.6 is retrieved with probability 1 - (1 - 0.36)^20 = 0.9999
@@ -77,15 +79,19 @@ def _bands(shingles: Column) -> Column:
     signature = F.transform(
         F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda j: F.array_min(F.transform(shingles, lambda s: F.xxhash64(j, s)))
     )
-    rows = [[F.element_at(signature, b * ROWS + r + 1) for r in range(ROWS)] for b in range(BANDS)]
-    return F.array(*(F.xxhash64(F.lit(b), *row) for b, row in enumerate(rows)))
+
+    def bands(values: Column) -> Column:
+        rows = [[F.get(values, F.lit(b * ROWS + r)) for r in range(ROWS)] for b in range(BANDS)]
+        return F.array(*(F.xxhash64(F.lit(b), *row) for b, row in enumerate(rows)))
+
+    return let(signature, bands)
 
 
 def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     """``license_id``, ``shingles`` (distinct), ``n`` (shingles with repeats) of every template."""
     listed = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(texts[k]).alias("body")) for k in sorted(texts)))
     rows = spark.range(1).select(F.inline(listed))
-    found = rows.select("license_id", _shingles(_words(F.col("body"))).alias("all"))
+    found = rows.select("license_id", let(_words(F.col("body")), _shingles).alias("all"))
     return found.select("license_id", F.array_distinct("all").alias("shingles"), F.size("all").alias("n"))
 
 
@@ -103,7 +109,7 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     everything = known.agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("any"))
     lengths = sorted({r.n for r in known.select("n").collect()})
     any_shingle = F.array(*(F.lit(h) for h in sorted(everything.first()[0])))
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shingles(_words(F.col("text"))).alias("h"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(_words(F.col("text")), _shingles).alias("h"))
     near = hashed.where(F.arrays_overlap("h", any_shingle))
     hits = F.filter(
         F.transform("h", lambda s, i: F.when(F.array_contains(any_shingle, s), i)), lambda i: i.isNotNull()

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velotide.llm.common import let
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 # The commonest function words of the four languages.
@@ -79,17 +81,12 @@ def _repeat_words(words: Column) -> Column:
             step = F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3))))
             return F.aggregate(step, F.lit(0), lambda a, b: a + b)
 
-        return _let(_let(_let(placed, repeated), lambda r: F.sort_array(F.transform(r, lambda w: w["i"]))), width)
+        return let(let(let(placed, repeated), lambda r: F.sort_array(F.transform(r, lambda w: w["i"]))), width)
 
     def some(hashes: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered(hashes)).otherwise(F.lit(0))
 
-    return F.when(n > 1, _let(windows, some)).otherwise(F.lit(0))
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: the only element of an array."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.when(n > 1, let(windows, some)).otherwise(F.lit(0))
 
 
 def measures() -> dict[str, Column]:
@@ -139,8 +136,8 @@ _LISTED = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 RULES_SQL = rf"""
 WITH parts AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 placed AS (
   SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
@@ -153,7 +150,7 @@ found AS (
   SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) AS n_lines,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-         len(list_filter(words, w -> lower(w) IN ({_LISTED}))) AS n_stop_words,
+         len(list_filter(words, lambda w: lower(w) IN ({_LISTED}))) AS n_stop_words,
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM parts LEFT JOIN covered USING (r)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found)

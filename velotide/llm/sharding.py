@@ -91,7 +91,7 @@ def assign(groups: DataFrame, shards: int) -> DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         return pd.DataFrame({"id": pdf["id"], "shard": difference(pdf["size"].to_numpy(), shards).astype(np.int32)})
 
-    placed = items.groupBy(F.lit(0)).applyInPandas(last, "id binary, shard int")
+    placed = items.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(last, "id binary, shard int")
     if levels:
         placed = stage(placed, "placed")
     for level in reversed(levels):

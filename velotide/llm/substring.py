@@ -92,7 +92,7 @@ def _without(named: DataFrame, units: DataFrame) -> DataFrame:
 DEDUP_SQL = rf"""
 WITH units AS (
   SELECT doc_id, unit - 1 AS unit, lines[unit] AS line,
-         coalesce(list_sum(list_transform(lines[1:unit - 1], x -> length(x) + 1)), 0) AS start
+         coalesce(list_sum(list_transform(lines[1:unit - 1], lambda x: length(x) + 1)), 0) AS start
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS unit
         FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
 ranked AS (
