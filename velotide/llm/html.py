@@ -27,8 +27,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
-SPACE = re.compile(r"\s+")
-PUNCTUATION = re.compile(r"[.,;:!?…。，！？؟،]")
+PUNCTUATION = ".,;:!?…。，！？؟،"
 # The rest of this file treats HTML's own vocabulary as fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -119,7 +118,7 @@ def parse(page: str) -> list[Block]:
         nonlocal block
         if here.hidden or not raw:
             return
-        value = entities.unescape(raw)
+        value = entities.unescape(raw) if "&" in raw else raw
         if block is None:
             if not value.strip():
                 return
@@ -187,7 +186,7 @@ def _ratios(blocks: list[Block], texts: list[str]) -> np.ndarray:
     for b, t in zip(blocks, texts, strict=True):
         sums = paths.setdefault(b.path, [0.0, 0.0, 0.0])
         sums[0] += len(t)
-        sums[1] += len(PUNCTUATION.findall(t))
+        sums[1] += sum(map(t.count, PUNCTUATION))
         sums[2] += 1
     length = np.array([paths[b.path][0] / paths[b.path][2] for b in blocks])
     marks = np.array([paths[b.path][1] / paths[b.path][2] for b in blocks])
@@ -208,7 +207,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = parse(page)
-    texts = [SPACE.sub(" ", "".join(b.parts)).strip() for b in blocks]
+    texts = [" ".join("".join(b.parts).split()) for b in blocks]
     both = [(b, t) for b, t in zip(blocks, texts, strict=True) if t]
     if not both:
         return ""

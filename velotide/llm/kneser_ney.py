@@ -26,7 +26,6 @@ from velotide.llm.common import (
     encode_words,
     scramble,
     shared_uri,
-    stage,
     text_slices,
     word_hashes,
     write_shared,
@@ -110,7 +109,7 @@ def _count_pairs(buckets: int):
     stored once with the length of their run, the second ones as places in a list of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 16 << 20):
+        for batch in text_slices(batches, "text"):
             hashes, _, tokens, before = _token_pairs(batch["text"])
             pairs, counts = np.unique(before << 32 | tokens, return_counts=True)
             first, second = pairs >> 32, pairs & 0xFFFFFFFF
@@ -154,7 +153,10 @@ def _merge_pairs(uri: str, buckets: int):
         begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         keys, first, second = keys[begin], first[order][begin], second[order][begin]
         total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), begin)
-        write_shared(f"{uri}/pairs-{key[0].as_py()}", [keys, np.minimum(total, 0xFFFFFFFF).astype("<u4")])
+        often = np.flatnonzero(total > 255)
+        head = np.array([len(keys), len(often)], PAIR)
+        parts = [head, keys, keys[often], total[often].astype(PAIR), np.minimum(total, 255).astype(np.uint8)]
+        write_shared(f"{uri}/pairs-{key[0].as_py()}", parts)
         zero = np.zeros(len(total), np.int64)
         of_first = _sums(first, zero, zero, *((total == k).astype(np.int64) for k in (1, 2)), (total > 2).astype(np.int64))
         of_second = _sums(second, total, zero + 1, zero, zero, zero)
@@ -181,7 +183,10 @@ def _merge_words(uri: str):
     """Write the sorted words of a bucket; send on totals."""
 
     def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.frombuffer(x, ONE) for batch in rows for x in batch["words"].to_pylist()]
+        tables, of_pairs = [], np.zeros(5, np.int64)
+        for batch in rows:
+            tables += [np.frombuffer(x, ONE) for x in batch["words"].to_pylist()]
+            of_pairs += np.array(batch["stats"].to_pylist(), np.int64).reshape(-1, 5).sum(axis=0)
         table = np.concatenate(tables)
         merged = _sums(table["hash"], *(table[c].astype(np.int64) for c in ONE.names[1:]))
         table = np.zeros(len(merged[0]), ONE)
@@ -191,12 +196,13 @@ def _merge_words(uri: str):
         before = merged[2]
         stats = [int(merged[1].sum()), int((merged[1] > 0).sum())]
         stats += [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 2).sum())]
+        stats += of_pairs.tolist()
         yield pa.record_batch([pa.array([stats], pa.list_(pa.int64()))], ["stats"])
 
     return run
 
 
-def fit(docs: DataFrame, bytes_per_bucket: int = 16 << 20) -> Model:
+def fit(docs: DataFrame, bytes_per_bucket: int = 8 << 20) -> Model:
     """Count all pairs and words of all texts of ``docs`` (column ``text``; null: empty, which is
     still an end). The number of files follows the bytes of text; an empty table gives a model that
     knows nothing."""
@@ -205,18 +211,12 @@ def fit(docs: DataFrame, bytes_per_bucket: int = 16 << 20) -> Model:
     buckets = max(1, -(-total // bytes_per_bucket))
     uri = shared_uri(scratch_path(spark, "llm-kneser-ney"))
     counted = docs.select("text").mapInArrow(_count_pairs(buckets), COUNTED)
-    words = stage(
-        counted.groupBy("bucket").applyInArrow(_merge_pairs(uri, buckets), "bucket int, words binary, stats array<bigint>"),
-        "pair-words",
+    words = counted.groupBy("bucket").applyInArrow(
+        _merge_pairs(uri, buckets), "bucket int, words binary, stats array<bigint>"
     )
-    of_words = words.select("bucket", "words").groupBy("bucket").applyInArrow(_merge_words(uri), "stats array<bigint>")
-
-    def added(df: DataFrame, size: int) -> list[int]:
-        row = df.agg(*(F.sum(F.col("stats")[i]) for i in range(size))).first()
-        return [x or 0 for x in row]
-
-    tokens, known, u1, u2, u3, u4, more = added(stage(of_words, "word-totals"), 7)
-    n1, n2, n3, n4, pairs = added(words, 5)
+    totals = words.groupBy("bucket").applyInArrow(_merge_words(uri), "stats array<bigint>")
+    row = totals.agg(*(F.sum(F.col("stats")[i]) for i in range(12))).first()
+    tokens, known, u1, u2, u3, u4, more, n1, n2, n3, n4, pairs = (x or 0 for x in row)
     of_pair, of_word = discounts(n1, n2, n3, n4), discounts(u1, u2, u3, u4)
     mass = (of_word[0] * u1 + of_word[1] * u2 + of_word[2] * more) / pairs if pairs else 1.0
     return Model(uri, buckets, tokens, known, pairs, of_pair, of_word, mass)
@@ -266,10 +266,14 @@ def _pair_counts(model: Model, first: np.ndarray, second: np.ndarray) -> np.ndar
     for b, places in _blobs(_pair_bucket(first, second, model.buckets), model.buckets, np.arange(len(keys))):
         raw = _mapped(f"{model.path}/pairs-{b}", np.uint8)
         if raw is not None:
-            n = len(raw) // 12
+            n, often = (int(x) for x in raw[:16].view(PAIR))
+            numbers = raw[16 : 16 + 8 * (n + 2 * often)].view(PAIR)
             places = places[np.argsort(keys[places])]
-            at, hit = _find(raw[: 8 * n].view("<u8"), keys[places])
-            out[places[hit]] = raw[8 * n :].view("<u4")[at[hit]]
+            at, hit = _find(numbers[:n], keys[places])
+            out[places[hit]] = raw[16 + 8 * (n + 2 * often) :][at[hit]]
+            if often:
+                at, hit = _find(numbers[n : n + often], keys[places])
+                out[places[hit]] = numbers[n + often :][at[hit]]
     return out
 
 
