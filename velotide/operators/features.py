@@ -25,7 +25,8 @@ def demand_features(hourly: DataFrame) -> DataFrame:
     mean. Needs a complete grid, see ``require_complete_grid``.
 
     On a complete grid the previous day's mean is a window expression too: the mean of the day,
-    taken from the row 24 hours earlier. All windows are partitioned by station, one shuffle.
+    taken from the row 24 hours earlier. Windows over a station come first: the windows over its
+    days find their rows where they are, so that there is one shuffle.
     """
     by_time = Window.partitionBy("station_id").orderBy("ts")
     own_day = Window.partitionBy("station_id", "_date")
@@ -36,11 +37,11 @@ def demand_features(hourly: DataFrame) -> DataFrame:
             columns[f"{t}_lag{n}"] = F.lag(t, n).over(by_time)
         week = [F.lag(t, 24 * k).over(by_time) for k in range(1, 8)]
         columns[f"{t}_same_hour_mean_7d"] = sum(week[1:], week[0]) / 7
-        columns[f"{t}_prev_day_mean"] = F.lag(f"_{t}_day", 24).over(by_time)
     return (
         hourly.withColumn("_date", F.to_date("ts"))
-        .withColumns(day_means)
         .withColumns(columns)
+        .withColumns(day_means)
+        .withColumns({f"{t}_prev_day_mean": F.lag(f"_{t}_day", 24).over(by_time) for t in TARGETS})
         .drop("_date", *day_means)
     )
 
@@ -157,7 +158,7 @@ def encode_station_days(table: DataFrame, scaling: DataFrame) -> DataFrame:
     )
     grouped = rows.groupBy("station_id", "date").agg(F.sort_array(F.collect_list("h")).alias("h"))
     checked = F.when(F.size("h") == 24, F.col("h")).otherwise(
-        F.raise_error(F.lit("every station-day must have exactly 24 hourly rows"))
+        F.raise_error(F.lit("this day of a station lacks some of its 24 hourly rows"))
     )
 
     def series(field: str) -> Column:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velotide.functions.columns import days, hours
+from velotide.functions.columns import days, hours, naive
 from velotide.operators.grid import forecast_days, in_service, open_as_of, with_idle_runs
 from velotide.settings import AVERAGE, CLOSED_MIN_HOURS, HISTORY_WEEKS, NAIVE, TARGETS
 
@@ -138,9 +138,12 @@ def backtest_baselines(
     return to_long(baseline_forecasts(hourly, week_starts, weeks, min_hours), [NAIVE, AVERAGE])
 
 
-def attach_actuals(hourly: DataFrame, forecasts: DataFrame, model: str) -> DataFrame:
+def attach_actuals(
+    hourly: DataFrame, forecasts: DataFrame, model: str, week_starts: list | None = None
+) -> DataFrame:
     """Long predictions of a fitted model. ``forecasts`` has test_week, station_id, ts, a column
-    per target and optionally its bounds; ``hourly`` needs in_service and drives a left join."""
+    per target and optionally its bounds; ``hourly`` needs in_service. With ``week_starts``, the hours
+    of these weeks drive a left join, so that an hour without a forecast stays and is noticed."""
     names = {
         c: f"{t}_{model}{c[len(t):]}"
         for t in TARGETS
@@ -152,7 +155,40 @@ def attach_actuals(hourly: DataFrame, forecasts: DataFrame, model: str) -> DataF
     actual = hourly.select(
         "station_id", "ts", "in_service", *[F.col(t).alias(f"{t}_y") for t in TARGETS]
     )
-    return to_long(actual.join(wanted, ["station_id", "ts"]), [model])
+    if week_starts is None:
+        return to_long(actual.join(wanted, ["station_id", "ts"]), [model])
+    due = hours_of_weeks(actual, week_starts)
+    return to_long(due.join(wanted, ["test_week", "station_id", "ts"], "left"), [model])
+
+
+def hours_of_weeks(hourly: DataFrame, week_starts: list) -> DataFrame:
+    """The rows in the seven days from each start, with the start as test_week."""
+    week = F.lit(None).cast("timestamp_ntz")
+    for start in sorted(week_starts, reverse=True):
+        inside = (F.col("ts") >= naive(start)) & (F.col("ts") < naive(start) + days(7))
+        week = F.when(inside, naive(start)).otherwise(week)
+    return hourly.withColumn("test_week", week).filter(F.col("test_week").isNotNull())
+
+
+def require_forecasts(hourly: DataFrame, preds: DataFrame, week_starts: list) -> DataFrame:
+    """Return the long predictions ``preds`` of one model, or raise unless every hour of the test
+    weeks has exactly one forecast per target and there is no other. One aggregation over both sides."""
+    due = hours_of_weeks(hourly.select("station_id", "ts"), week_starts)
+    due = due.withColumn("target", F.explode(F.array(*map(F.lit, TARGETS))))
+    keys = ["test_week", "station_id", "ts", "target"]
+    left = due.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("p"))
+    right = preds.select(*keys, F.lit(0).alias("a"), F.col("yhat").isNotNull().cast("int").alias("p"))
+    counted = left.unionByName(right).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
+    bad = counted.filter("a <> 1 OR p <> 1").groupBy("station_id", "test_week").agg(
+        F.count_if(F.col("p") < F.col("a")).alias("missing"), F.count_if(F.col("p") > F.col("a")).alias("surplus")
+    )
+    first = bad.orderBy("test_week", "station_id").first()
+    if first:
+        raise ValueError(
+            f"station {first['station_id']}, week of {first['test_week']}: "
+            f"{first['missing']} forecasts missing, {first['surplus']} too many"
+        )
+    return preds
 
 
 def protocol_violations(actual: DataFrame, forecasts: DataFrame) -> DataFrame:

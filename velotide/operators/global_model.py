@@ -27,7 +27,7 @@ from velotide.operators.features import (
     weather_scaling,
     with_closed_share,
 )
-from velotide.operators.forecast import reached_days
+from velotide.operators.forecast import hours_of_weeks, reached_days
 from velotide.operators.grid import open_as_of, visible_before, with_idle_runs
 from velotide.session import materialize
 from velotide.settings import CLOSED_MIN_HOURS, TARGETS
@@ -68,8 +68,12 @@ def prediction_table(
     """Features of all hours of the test weeks. Every demand feature looks back a day or more, so
     those of day D are what blank rows for D would get; the closed shares are taken as of D."""
     shares = closed_share_as_of(hourly, week_starts, min_hours)
-    table = build_feature_table(hourly.drop("in_service"), weather, calendar)
-    return table.withColumn("day", midnight(F.col("ts"))).join(shares, ["station_id", "day"])
+    near = F.lit(False)
+    for start in week_starts:  # nothing looks back further than eight days
+        near = near | ((F.col("ts") >= naive(start) - days(8)) & (F.col("ts") < naive(start) + days(7)))
+    table = build_feature_table(hourly.drop("in_service").filter(near), weather, calendar)
+    due = hours_of_weeks(table, week_starts).withColumn("day", midnight(F.col("ts")))
+    return due.join(shares, ["test_week", "station_id", "day"], "left")
 
 
 def _hourly_inputs() -> list[str]:
@@ -232,7 +236,10 @@ def fit_week(
     sizes = {r["is_validation"]: r["n"] for r in table.groupBy("is_validation").agg(
         F.count_distinct("station_id", "date").alias("n")).collect()}
 
-    ahead = prediction_table(hourly, weather, calendar, [week], min_hours)
+    ahead = materialize(prediction_table(hourly, weather, calendar, [week], min_hours))
+    gaps = incomplete_inputs(ahead).first()
+    if gaps["incomplete"]:
+        raise ValueError(f"week of {week}: {gaps['incomplete']} of {gaps['n_rows']} rows lack an input")
     inputs = _with_levels(_samples(standardized(ahead, scaling)), levels)
     predicted = models[chosen].transform(inputs).select(
         "test_week", "station_id", "ts", "target", _counts(chosen).alias("yhat")

@@ -200,8 +200,8 @@ def in_service(min_hours: int = CLOSED_MIN_HOURS) -> Column:
 
 
 def flag_in_service(hourly: DataFrame, min_hours: int = CLOSED_MIN_HOURS) -> DataFrame:
-    """False inside an idle run of at least ``min_hours``. For weights and scores, never a model
-    input: how long a run lasts is known only after it ended."""
+    """Adds in_service: no part of an idle run of ``min_hours`` or longer. The whole run decides, later
+    hours included, so the column may weigh and select rows but must not feed a model."""
     return (
         with_idle_runs(hourly)
         .withColumn("in_service", in_service(min_hours))

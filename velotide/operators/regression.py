@@ -106,8 +106,11 @@ def _forecaster(weeks: list[pd.Timestamp], min_hours: int, interval: float, year
         for week in weeks:
             ahead = ((rows["ts"] >= week) & (rows["ts"] < week + pd.Timedelta(days=7))).to_numpy()
             past = (rows["ts"] < week).to_numpy() & _open_before(rows, week, min_hours)
-            if not ahead.any() or not past.any():
+            if not ahead.any():
                 continue
+            if not past.any():
+                name = rows["station_id"].iloc[0]
+                raise ValueError(f"station {name} has no hour to learn from before {week.date()}")
             beta, spread = _solve(x[past], y[past])
             centre = x[ahead] @ beta
             part = rows.loc[ahead, ["station_id", "ts"]].assign(test_week=week)
@@ -131,7 +134,8 @@ def additive_forecasts(
     yearly: bool = True,
 ) -> DataFrame:
     """Wide forecasts with bounds for all hours of the test weeks, fitted per station and week on
-    the hours before the week that were in service as far as known then. Nothing is below 0.
+    the hours before the week that were in service as far as known then. Nothing is below 0. A
+    station without such an hour cannot be forecast, which is an error.
 
     ``regressors``: see ``regressor_frame``; ``holiday_names``: date, holiday_name. Hours without
     complete regressors do not train; check the horizon with ``require_horizon``.

@@ -102,7 +102,7 @@ def require_identical_rows(preds: DataFrame) -> DataFrame:
     bad = row_set_differences(preds).filter("extra > 0 OR missing > 0").orderBy("model").first()
     if bad:
         raise ValueError(
-            f"{bad['model']} was scored on different rows than {NAIVE}: "
+            f"{bad['model']} and {NAIVE} cover different rows, so their scores do not compare: "
             f"{bad['extra']} extra, {bad['missing']} missing"
         )
     return preds

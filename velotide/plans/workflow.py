@@ -19,6 +19,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velotide.functions import metrics as M
 from velotide.operators import calendar as CA
 from velotide.operators import cleaning as C
 from velotide.operators import features as FE
@@ -31,6 +32,7 @@ from velotide.operators import weather as W
 from velotide.plans import analysis as A
 from velotide.plans import rebalancing as K
 from velotide.plans import report as R
+from velotide.session import written
 from velotide.settings import (
     AVERAGE,
     CLOSED_MIN_HOURS,
@@ -89,7 +91,12 @@ def raw_trips(project: Project, csv=None, legacy=None, zips=None) -> DataFrame:
 def ingest(project: Project, csv=None, legacy=None, zips=None) -> DataFrame:
     """Clean the months that are new. The log is small: its new version is brought to the driver
     before it replaces the one that it was computed from."""
-    rows = raw_trips(project, csv, legacy, zips)
+    rows = written(raw_trips(project, csv, legacy, zips), "raw-trips")
+    files = rows.select("source_file", "month").distinct()
+    catalog = files.groupBy("month").agg(
+        F.min("source_file").alias("key"), F.max("source_file").alias("other"), F.count("*").alias("files")
+    )
+    TF.require_one_file_per_month(catalog)
     old = ST.read_if_present(project.spark, project.path("cleaning_log"))
     log = ST.ingest_new_months(rows, project.path("trips"), old)
     rows_per_month = project.spark.createDataFrame(log.collect(), log.schema)
@@ -150,8 +157,14 @@ def build_features(project: Project) -> None:
 
 
 def predict(project: Project, level: str, model: str, weather_source: str = "forecast") -> DataFrame:
-    """Long predictions of one model for all test weeks, checked against the protocol."""
+    """Long predictions of one model for all test weeks. Every hour of the weeks must have its one
+    forecast, whatever the model; it is an error if one is missing."""
     weeks = list(project.test_weeks)
+    hourly, preds = _predictions(project, level, model, weather_source, weeks)
+    return FC.require_forecasts(hourly, written(preds, "predictions"), weeks)
+
+
+def _predictions(project: Project, level: str, model: str, weather_source: str, weeks: list):
     if level == "system":
         hourly = project.read("hourly_system").withColumn("in_service", F.lit(True))
         min_hours = None
@@ -159,7 +172,7 @@ def predict(project: Project, level: str, model: str, weather_source: str = "for
         hourly, min_hours = project.read("hourly"), project.min_hours
     if model in (NAIVE, AVERAGE):
         both = FC.backtest_baselines(hourly, weeks, min_hours=min_hours)
-        return both.filter(F.col("model") == model)
+        return hourly, both.filter(F.col("model") == model)
     weather, calendar = project.read(f"weather_{weather_source}"), project.read("calendar")
     fit_hours = min_hours or 10**6
     if model == ADDITIVE:
@@ -173,7 +186,7 @@ def predict(project: Project, level: str, model: str, weather_source: str = "for
         ST.write_fit_log(log, project.path("fit_log_global"))
     else:
         raise ValueError(f"no model {model} for {level}; choose from {MODELS}")
-    return FC.attach_actuals(hourly, wide, model)
+    return hourly, FC.attach_actuals(hourly, wide, model, weeks)
 
 
 def backtest(project: Project, models=MODELS, levels=LEVELS, weather_source: str = "forecast") -> None:
@@ -190,7 +203,8 @@ def backtest(project: Project, models=MODELS, levels=LEVELS, weather_source: str
 
 def load_level(project: Project, level: str) -> DataFrame:
     """Scored rows of every model of a level."""
-    return ST.load_predictions(project.spark, project.path(f"predictions/{level}/*"))
+    rows = ST.load_predictions(project.spark, project.path(f"predictions/{level}/*"))
+    return M.require_complete(rows, "y", "yhat")
 
 
 def enriched(project: Project, level: str = "stations") -> DataFrame:

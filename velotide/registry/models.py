@@ -25,9 +25,10 @@ WEEKS = list(P.WEEKS)
 
 
 def filled_weather(spark, sf):
-    """The hourly readings on the whole grid. The smallest tables have gaps of most of a day."""
+    """The hourly readings on the whole grid. Gaps of up to two hours are filled, as published; tables
+    with longer gaps, as the smallest ones have, are refused by the guards of the models."""
     spine = G.hour_spine(spark, P.START, P.END)
-    return W.interpolate(spine.join(P.weather(spark, sf), "ts", "left"), limit=24)
+    return W.interpolate(spine.join(P.weather(spark, sf), "ts", "left"), limit=2)
 
 
 def regressors(spark, sf):
@@ -50,7 +51,7 @@ def additive(spark, sf):
 def _(spark, sf):
     """Long predictions with intervals of one regression per station and week."""
     hourly = G.flag_in_service(P.station_hourly(spark, sf), P.IDLE_HOURS)
-    return FC.attach_actuals(hourly, additive(spark, sf), "additive")
+    return FC.attach_actuals(hourly, additive(spark, sf), "additive", WEEKS)
 
 
 @query("g5_horizon", with_ctes("""
@@ -86,7 +87,7 @@ def global_model(spark, sf):
 def _(spark, sf):
     """Long predictions of one model over all stations."""
     hourly, forecasts, _ = global_model(spark, sf)
-    return FC.attach_actuals(G.flag_in_service(hourly, P.IDLE_HOURS), forecasts, "global")
+    return FC.attach_actuals(G.flag_in_service(hourly, P.IDLE_HOURS), forecasts, "global", WEEKS)
 
 
 @query("g7_masked_losses", with_ctes("""
@@ -146,19 +147,18 @@ def _(spark, sf):
            l.departures_lag24, l.departures_lag168, l.departures_same_hour_mean_7d,
            c.closed_d1, c.closed_d7
     FROM forecast_days d
-    JOIN user_hourly u ON u.ts >= d.day AND u.ts < d.day + INTERVAL 1 DAY
+    JOIN user_hourly u ON CAST(u.ts AS DATE) = CAST(d.day AS DATE)
     JOIN user_lags l ON l.station_id = u.station_id AND l.ts = u.ts
-    JOIN (SELECT r.station_id, f.day,
-                 avg(CASE WHEN r.closed THEN 1.0 ELSE 0.0 END)
-                     FILTER (WHERE r.ts >= f.day - INTERVAL 1 DAY) AS closed_d1,
-                 avg(CASE WHEN r.closed THEN 1.0 ELSE 0.0 END)
-                     FILTER (WHERE r.ts < f.day - INTERVAL 6 DAY) AS closed_d7
-          FROM forecast_days f
-          JOIN (SELECT q.station_id, q.ts, g.day AS as_of,
+    JOIN (SELECT r.station_id, r.day,
+                 avg(CASE WHEN r.closed THEN 1.0 ELSE 0.0 END) FILTER (WHERE back = 1) AS closed_d1,
+                 avg(CASE WHEN r.closed THEN 1.0 ELSE 0.0 END) FILTER (WHERE back = 7) AS closed_d7
+          FROM (SELECT q.station_id, g.day, g.back,
                        q.idle AND epoch(least(q.run_end + INTERVAL 1 HOUR, g.day))
                                   - epoch(q.run_start) >= 48 * 3600 AS closed
-                FROM user_runs q JOIN forecast_days g ON q.ts < g.day) r
-            ON r.as_of = f.day AND r.ts >= f.day - INTERVAL 7 DAY
+                FROM user_runs q
+                JOIN (SELECT day, back, CAST(day - back * INTERVAL 1 DAY AS DATE) AS date
+                      FROM forecast_days CROSS JOIN (VALUES (1), (7)) AS b(back)) g
+                  ON CAST(q.ts AS DATE) = g.date) r
           GROUP BY 1, 2) c ON c.station_id = u.station_id AND c.day = d.day"""),
     doubles="departures_same_hour_mean_7d closed_d1 closed_d7")
 def _(spark, sf):

@@ -196,6 +196,27 @@ def _(spark, sf):
     return log.withColumn("month", F.col("month").cast("string"))
 
 
+@query("a7_streaming_many_files", with_ctes(f"""
+    SELECT month, count(*) AS rows_in, {RULE_COUNTS},
+           count(*) FILTER (WHERE rule IS NULL) AS rows_out FROM m GROUP BY 1""",
+    m=MONTH_LABELLED.replace("FROM unified", "FROM unified WHERE source_file = 'new'")))
+def _(spark, sf):
+    """Many files per month, two in a batch, and more files for months that are already stored."""
+    root = scratch_path(spark, "stream")
+    event = F.expr("CAST(row_order.event AS BIGINT)")
+    rows = P.raw_new(spark, sf).withColumn("trips", F.concat(F.lit("20240"), (event % 3 + 1).cast("string")))
+    rows = rows.withColumn("late", F.pmod(F.floor(event / 3), F.lit(4)) == 0)
+    for late in (False, True):
+        some = rows.filter(F.col("late") == late).select(*RAW, "trips").repartition(4)
+        some.write.mode("append").partitionBy("trips").option("header", True).option(
+            "escape", '"'
+        ).option("emptyValue", "").csv(f"{root}/raw")
+        stream = IN.csv_stream(spark, f"{root}/raw", list(RAW), files_per_batch=2)
+        IN.ingest_available(stream, f"{root}/trips", f"{root}/log", f"{root}/state")
+    log = spark.read.parquet(f"{root}/log")
+    return log.withColumn("month", F.col("month").cast("string"))
+
+
 @query("a8_log_upsert", with_ctes("""
     SELECT month, count(*) * (CASE month WHEN '202402' THEN 2 ELSE 1 END) AS rows_in
     FROM m GROUP BY 1 UNION ALL SELECT '202312', CAST(count(*) AS BIGINT) FROM orders""",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velotide.operators.cleaning import RULES, kept_rows, label_rows, removed_counts
-from velotide.session import materialize
+from velotide.session import written
 
 SNAPSHOT_COLUMNS = (
     "model", "test_week", "station_id", "ts", "target", "y", "yhat", "yhat_lower", "yhat_upper",
@@ -20,7 +20,9 @@ SNAPSHOT_LABELS = ("model", "station_id", "target", "weather", "holiday_name")
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -56,7 +58,7 @@ def ingest_new_months(trips: DataFrame, path: str, log: DataFrame | None = None)
     """
     present = read_if_present(trips.sparkSession, path)
     todo = months_to_ingest(trips.select("month").distinct(), present)
-    labelled = materialize(label_rows(trips.join(todo, "month", "left_semi"), "month"))
+    labelled = written(label_rows(trips.join(todo, "month", "left_semi"), "month"), "labelled")
     write_months(kept_rows(labelled), path)
     counts = removed_counts(labelled, "month").select("month", "rows_in", *RULES, "rows_out")
     return upsert_log(log, counts)

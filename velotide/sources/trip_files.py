@@ -133,7 +133,9 @@ def read_trips(spark: SparkSession, path: str) -> DataFrame:
 
 def month_of_trip_file(column: Column) -> Column:
     """YYYYMM out of a path such as ``raw/202401.csv`` or ``raw/trips=202401/part-0.csv``."""
-    return F.regexp_extract(column, r"(?:^|/|_|=)(\d{6})(?:\.|-|_|/)", 1)
+    month = F.regexp_extract(column, r"(?:^|/|_|=)(\d{6})(?:\.|-|_|/)", 1)
+    lacking = F.raise_error(F.concat(F.lit("no month in the name of "), column)).cast("string")
+    return F.when(month != "", month).when(column.isNotNull(), lacking)
 
 
 def data_range(months: DataFrame) -> DataFrame:

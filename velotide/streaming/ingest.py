@@ -1,7 +1,9 @@
 """Incremental ingest of trip files as a stream that stops when it has seen everything.
 
 The file source remembers which files it has read, so a restarted or repeated run takes only new
-ones; a month's partition is replaced as a whole, so a batch that is retried does no harm.
+ones. Every batch first adds its normalized rows to a table of raw months, in folders of its own
+that a retry of the batch replaces. Then the months it touched are cleaned again from all their raw
+rows and replaced, so that the result does not depend on how files were dealt to batches.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velotide.operators.cleaning import RULES, kept_rows, label_rows, normalize, removed_counts
-from velotide.session import materialize
+from velotide.session import written
 from velotide.sources.stores import write_months
 from velotide.sources.trip_files import month_of_trip_file
 
@@ -33,20 +35,32 @@ def csv_stream(spark: SparkSession, path: str, columns: list[str], files_per_bat
     )
 
 
+def _replace(rows: DataFrame, path: str, *folders: str) -> None:
+    rows.write.partitionBy(*folders).option("partitionOverwriteMode", "dynamic").mode(
+        "overwrite"
+    ).parquet(path)
+
+
 def _store(table: str, log: str):
+    bronze = f"{table.rstrip('/')}_raw"
+
     def batch(raw: DataFrame, batch_id: int) -> None:
-        del batch_id
+        spark = raw.sparkSession
         # Row numbers are not available to a stream, but each batch is a plain table.
         order = F.struct("block", F.monotonically_increasing_id().alias("row"))
         trips = normalize(raw.withColumn("row_order", order)).withColumn(
             "month", month_of_trip_file(F.col("source_file"))
         )
-        labelled = materialize(label_rows(trips, "month"))
+        _replace(trips.withColumn("batch", F.lit(batch_id)), bronze, "month", "batch")
+        stored = spark.read.parquet(bronze).withColumn("month", F.col("month").cast("string"))
+        touched = [r.month for r in stored.filter(F.col("batch") == batch_id).select("month").distinct().collect()]
+        if not touched:
+            return
+        rows = stored.filter(F.col("month").isin(touched)).drop("batch")
+        labelled = written(label_rows(rows, "month"), "labelled")
         write_months(kept_rows(labelled), table)
         counts = removed_counts(labelled, "month").select("month", "rows_in", *RULES, "rows_out")
-        counts.write.partitionBy("month").option("partitionOverwriteMode", "dynamic").mode(
-            "overwrite"
-        ).parquet(log)
+        _replace(counts, log, "month")
 
     return batch
 
