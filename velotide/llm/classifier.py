@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velotide.llm.common import encode_words, id_fold, scramble, stage, text_slices, word_hashes
+from velotide.llm.common import encode_words, free_name, id_fold, scramble, stage, text_slices, word_hashes
 
 ROWS, WIDTH, SIGNS = 1 << 16, 32, 2
 REACH = 2  # words before and after
@@ -192,5 +192,6 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to be of quality, with all their columns. Rows that
     repeat an id stay if all of its texts do; rows without an id are kept."""
-    bad = score(docs, labels).where("predicted = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    key, scored = free_name(docs, "_bad"), score(docs, labels)
+    bad = scored.where("predicted = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == F.col(key), "left_anti")

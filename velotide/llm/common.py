@@ -37,6 +37,14 @@ def id_fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % folds
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once: the only element of an array."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velotide.llm.common import encode_words, scramble, shingle_hashes, stage, text_slices, word_hashes
+from velotide.llm.common import encode_words, free_name, scramble, shingle_hashes, stage, text_slices, word_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -195,5 +195,6 @@ def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those documents that contain an item, all columns as they are.
     Rows that repeat an id go together; rows without an id are kept and not compared."""
     named = docs.where("doc_id IS NOT NULL")
-    bad = contaminated(named, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    key = free_name(docs, "_bad")
+    bad = contaminated(named, items).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == F.col(key), "left_anti")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velotide.llm.common import stage, text_slices
+from velotide.llm.common import free_name, stage, text_slices
 from velotide.llm.components import components
 
 SHINGLE = 4
@@ -229,6 +229,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     named = docs.where("doc_id IS NOT NULL")
     groups = near_duplicates(named)
-    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = named.join(ids, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    key = free_name(docs, "_kept")
+    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = named.join(ids, named["doc_id"].cast("long") == F.col(key), "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))
