@@ -3,8 +3,9 @@
 A window of a document is compared with an item of as many words. Both are multisets of shingles of
 five words; their similarity is the sum of the smaller counts over the sum of the larger ones.
 
-1. Where windows are laid: similarity 0.8 needs 0.8 of the window's shingles to be shingles of some item.
-   A bit map of fixed size says which shingles may be; a window with too few of these cannot match.
+1. Where windows are laid: similarity 0.8 needs 0.8 of the window's shingles to be shingles of one item
+   of its length. A bit map of fixed size says which shingles items of a length may have; a window with
+   too few of these cannot match.
 2. Windows and items get a 64-bit SimHash of their shingles. Two that differ in at most 15 bits
    differ in at most one bit of one of 8 blocks of 8 bits, so that looking up each block of a
    window and its 8 neighbours finds all fingerprints within the radius.
@@ -53,7 +54,13 @@ def _all_shingles(texts: pa.Array):
     return counts, parts
 
 
-ITEM = "item_id long, n int, fp long, shingles array<long>"
+ITEM = "item_id long, n int, fp long, shingles array<long>, bits array<int>"
+
+
+def _bits(shingles: np.ndarray, n: int) -> np.ndarray:
+    """Places in the bit map of shingles of items of ``n`` words; of any item with ``n`` = 0."""
+    mixed = scramble(shingles + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93))
+    return (mixed & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,21 +73,27 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(counts[full].astype(np.int32)),
                 pa.array([_simhash(parts[k]) for k in full], pa.int64()),
                 pa.array([parts[k].view(np.int64) for k in full], pa.list_(pa.int64())),
+                pa.array(
+                    [np.concatenate((_bits(parts[k], 0), _bits(parts[k], int(counts[k])))) for k in full],
+                    pa.list_(pa.int32()),
+                ),
             ],
-            ["item_id", "n", "fp", "shingles"],
+            ["item_id", "n", "fp", "shingles", "bits"],
         )
 
 
 def _windows(bit_map: np.ndarray, lengths: list[int]):
-    mask = np.uint64((1 << MAP_BITS) - 1)
 
     def of_text(hits: np.ndarray, shingles: np.ndarray, n_words: int):
         """Begin and length of the windows that may match."""
-        sums = np.concatenate(([0], np.cumsum(hits)))
+        places = np.flatnonzero(hits)
         for n in lengths:
             size = max(1, n - SHINGLE + 1)
-            if n > n_words or (n < SHINGLE and n != n_words):
+            if n > n_words or (n < SHINGLE and n != n_words) or len(places) < SIMILAR * size:
                 continue
+            sums = np.zeros(len(shingles) + 1, np.int64)
+            sums[1 + places] = bit_map[_bits(shingles[places], n)]
+            sums = np.cumsum(sums)
             inside = sums[size:] - sums[:-size]
             for begin in np.flatnonzero(inside >= SIMILAR * size).tolist():
                 yield begin, n, shingles[begin : begin + size]
@@ -90,7 +103,7 @@ def _windows(bit_map: np.ndarray, lengths: list[int]):
             counts, codes, words = encode_words(batch["text"])
             hashes = word_hashes(words)
             owner, _, mixed = shingle_hashes(counts, codes, hashes, SHINGLE)
-            known = bit_map[(mixed & mask).astype(np.int64)]
+            known = bit_map[_bits(mixed, 0)]
             some = np.unique(owner[known])
             begin = np.searchsorted(owner, np.arange(len(counts) + 1))
             todo = {int(k): (known[begin[k] : begin[k + 1]], mixed[begin[k] : begin[k + 1]]) for k in some}
@@ -98,7 +111,7 @@ def _windows(bit_map: np.ndarray, lengths: list[int]):
             if len(short) and min(lengths, default=SHINGLE) < SHINGLE:
                 _, parts = _all_shingles(batch["text"].take(pa.array(short)))
                 for k, part in zip(short.tolist(), parts, strict=True):
-                    todo[k] = (bit_map[(part & mask).astype(np.int64)], part)
+                    todo[k] = (bit_map[_bits(part, 0)], part)
             out = [], [], [], [], []
             ids = batch["doc_id"]
             for k in sorted(todo):
@@ -147,8 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) ->
     known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, ITEM)
     known = stage(known, "items")
     lengths = [r.n for r in known.select("n").distinct().orderBy("n").collect()]
-    bits = F.col("s").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    places = known.select(F.explode("shingles").alias("s")).select(bits.cast("int").alias("bit")).distinct()
+    places = known.select(F.explode("bits").alias("bit")).distinct()
     bit_map = np.zeros(1 << MAP_BITS, bool)
     bit_map[places.toPandas()["bit"].to_numpy(np.int64)] = True
     shared = spark.sparkContext.broadcast(np.packbits(bit_map))
