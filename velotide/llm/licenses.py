@@ -114,25 +114,24 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     hits = F.filter(
         F.transform("h", lambda s, i: F.when(F.array_contains(any_shingle, s), i)), lambda i: i.isNotNull()
     )
-    laid = near.withColumn("hits", hits).select(
-        "doc_id", "h", "hits", F.explode(F.array(*map(F.lit, lengths))).alias("n")
-    )
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / STEP_SHARE)).cast("int")
-    begins = laid.withColumn("step", step).select("doc_id", "h", "n", "step", F.explode("hits").alias("i"))
-    # Windows begin at multiples of the step; those that hold the hit at i.
-    low = (F.ceil(F.greatest(F.lit(0), F.col("i") - F.col("n") + 1) / F.col("step")) * F.col("step")).cast("int")
-    high = (F.floor(F.col("i") / F.col("step")) * F.col("step")).cast("int")
-    starts = begins.groupBy("doc_id", "n", "step").agg(
-        F.first("h").alias("h"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(low <= high, F.sequence(low, high, F.col("step")))))).alias("starts"),
-    )
-    windows = starts.select("doc_id", "h", "n", "step", F.explode("starts").alias("start"))
-    inside = windows.select(
-        "doc_id", "n", "start",
-        F.array_distinct(F.slice("h", F.col("start") + 1, F.col("n"))).alias("window"),
+    laid = near.withColumn("hits", hits).select("doc_id", "h", "hits", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
+    laid = laid.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / STEP_SHARE)).cast("int"))
+
+    def around_hit(i: Column) -> Column:
+        """Windows begin at multiples of the step; those that hold the hit."""
+        low = (F.ceil(F.greatest(F.lit(0), i - F.col("n") + 1) / F.col("step")) * F.col("step")).cast("int")
+        high = (F.floor(i / F.col("step")) * F.col("step")).cast("int")
+        return F.when(low <= high, F.sequence(low, high, F.col("step"))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def window(start: Column) -> Column:
         # The verified passage is a step longer on either side, so that no offset cuts a shingle.
-        F.slice("h", F.greatest(F.lit(1), F.col("start") + 1 - F.col("step")), F.col("n") + 2 * F.col("step")).alias("around"),
-    )
+        around = F.slice("h", F.greatest(F.lit(1), start + 1 - F.col("step")), F.col("n") + 2 * F.col("step"))
+        return F.struct(
+            start.alias("start"), F.array_distinct(F.slice("h", start + 1, F.col("n"))).alias("window"), around.alias("around")
+        )
+
+    starts = F.array_distinct(F.flatten(F.transform("hits", around_hit)))
+    inside = laid.select("doc_id", "n", F.explode(F.transform(starts, window)).alias("w")).select("doc_id", "n", "w.*")
     banded = inside.select("doc_id", "n", "start", "around", F.posexplode(_bands(F.col("window"))).alias("band", "key"))
     of_template = known.select("license_id", "shingles", "n", F.posexplode(_bands(F.col("shingles"))).alias("band", "key"))
     candidates = (
