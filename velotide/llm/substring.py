@@ -73,9 +73,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document has, and ``removed``, their places in the original text (code points from 0, end exclusive).
 
     The first occurrence, by ``doc_id`` and then by line, stays. A line goes with its line break. A
-    null text stays null. Rows that repeat a ``doc_id`` with the same text are one document and keep
-    the same lines; one row per distinct (doc_id, text) is returned. Rows without an id come first
-    in rank and are returned unchanged.
+    null text stays null. An id names one text: rows that repeat an id must repeat its text, keep the same
+    lines and give a row each. Rows without an id are not compared and are returned unchanged.
     """
     named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     units = stage(line_units(named, min_words).distinct(), "line-units")
