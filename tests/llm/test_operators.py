@@ -169,6 +169,16 @@ def test_line_dedup_keeps_the_first_and_the_offsets(spark):
     assert texts[3][span.start : span.end] == passage
 
 
+def test_passages_inside_other_paragraphs_are_removed(spark):
+    shared = "Red green blue one two three four five. Six. And seven eight nine ten eleven twelve!"
+    texts = [f"Start here. {shared}\nTail.", f"Own words go on. {shared} Own end.\n\nMore.", f"A head.\n{shared}", "Six. Six. And no more.", "", None]
+    got = {r.doc_id: r for r in substring.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[k].text for k in range(6)] == [texts[0], "Own words go on. Own end.\n\nMore.", "A head.", *texts[3:]]
+    assert [texts[1][s.start : s.end] for s in got[1].removed] == [f" {shared}"]
+    again = substring.dedup_lines(frame(spark, texts[1:2]).union(frame(spark, texts[1:2]))).collect()
+    assert [(r.text, r.removed) for r in again] == [(texts[1], [])] * 2
+
+
 def test_main_text(spark):
     page = (
         '<html><head><title>T</title><style>p{}</style></head><body><nav>menu</nav><div class="cookie-notice">ok</div>'
