@@ -1,5 +1,6 @@
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 from helpers import frame, rows_by
 from pyspark.sql import functions as F
@@ -119,6 +120,23 @@ def test_average_ranks_share_ties(spark):
     assert [got[s]["relative_error_rank"] for s in "abcd"] == [4.0, 2.5, 2.5, 1.0]
 
 
+def test_ranks_across_many_ranges(spark):
+    values = [None if i % 13 == 0 else float(i * 37 % 101) for i in range(400)]
+    rows = [(f"s{i}", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "station_id string, skill_m double").withColumns(
+        {"mae_m": F.col("skill_m"), "mean_actual": F.lit(1.0), "name": F.col("station_id")}
+    )
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = rows_by(A.relative_errors(df, "m"), "station_id")
+    finally:
+        spark.conf.unset(coalesce)
+    want = pd.Series(values, dtype="float64")
+    for column, rank in (("skill_rank", want.rank()), ("relative_error_rank", want.rank(ascending=False))):
+        assert [got[f"s{i}"][column] for i in range(400)] == [None if pd.isna(r) else r for r in rank]
+
+
 @pytest.fixture(scope="module")
 def flows(spark):
     rows = []

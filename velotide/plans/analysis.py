@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from velotide.functions import metrics as M
 from velotide.plans.report import add_groups, daily_rain, order_models
+from velotide.session import written
 from velotide.settings import AVERAGE, TARGETS
 
 # The morning window [7, 10), and the hours that count as daytime.
@@ -206,12 +207,25 @@ def daily_mae_pivot(daily: DataFrame, dates: list[date], models: list[str]) -> D
     return chosen.groupBy("date").pivot("model", models).agg(F.max("mae")).orderBy("date")
 
 
-def _average_rank(value: Column, *, descending: bool) -> Column:
-    """Rank with ties sharing their mean rank; NULL has no rank."""
-    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    everyone = Window.partitionBy(F.lit(0)).orderBy(order)
-    peers = F.count("*").over(Window.partitionBy(value))
-    return F.when(value.isNotNull(), F.rank().over(everyone) + (peers - 1) / 2)
+def _with_average_rank(rows: DataFrame, column: str, rank: str, *, descending: bool = False) -> DataFrame:
+    """``rank``, the place of ``column``: ties share their mean place, NULL has none.
+
+    Rows are folded to one per value, and the values are dealt out in order; each task counts through
+    its own range and starts where the ranges before it end. Only the ranges pass through one task.
+    """
+    value = F.col(column)
+    counts = rows.filter(value.isNotNull()).groupBy(value.alias("_value")).agg(F.count("*").alias("_n"))
+    order = F.col("_value").desc() if descending else F.col("_value").asc()
+    # Written, as the bounds of the ranges are drawn anew whenever the deal is computed again.
+    dealt = written(counts.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranks")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(F.sum("_n").alias("_in_range"))
+    starts = ranges.select("_range", F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)).alias("_start"))
+    within = F.sum("_n").over(Window.partitionBy("_range").orderBy(order))
+    places = dealt.join(starts, "_range").select(
+        "_value", (F.col("_start") + within - (F.col("_n") - 1) / 2).alias(rank)
+    )
+    return rows.join(places, value == F.col("_value"), "left").drop("_value")
 
 
 def relative_errors(scores: DataFrame, model: str) -> DataFrame:
@@ -220,13 +234,9 @@ def relative_errors(scores: DataFrame, model: str) -> DataFrame:
     The ranking is over stations: one row each, after all predictions have been folded.
     """
     relative = F.try_divide(F.col(f"mae_{model}"), F.col("mean_actual"))
-    ranked = scores.withColumn("relative_error", relative)
-    return ranked.select(
-        "station_id",
-        "name",
-        F.col(f"skill_{model}").alias("skill"),
-        _average_rank(F.col(f"skill_{model}"), descending=False).alias("skill_rank"),
-        "relative_error",
-        _average_rank(F.col("relative_error"), descending=True).alias("relative_error_rank"),
-    )
+    skill = F.col(f"skill_{model}").alias("skill")
+    known = written(scores.select("station_id", "name", skill, relative.alias("relative_error")), "station-errors")
+    ranked = _with_average_rank(known, "skill", "skill_rank")
+    ranked = _with_average_rank(ranked, "relative_error", "relative_error_rank", descending=True)
+    return ranked.select("station_id", "name", "skill", "skill_rank", "relative_error", "relative_error_rank")
 
