@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from velotide.llm import (
     classifier,
     components,
@@ -15,6 +16,7 @@ from velotide.llm import (
     kneser_ney,
     licenses,
     mixing,
+    near_copies,
     quality_rules,
     sharding,
     simhash,
@@ -84,6 +86,48 @@ def test_simhash_links_equal_brute_force(spark):
     assert kept == set(root)
 
 
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_equal_brute_force(spark):
+    texts = [prose(120, k) for k in range(12)] + ["", None, " ", "a b", "A  b", "a b c"]
+    for k in range(12):  # 0 to 4 changed words of 120: similarities on both sides of 0.8
+        for changed in range(5):
+            words = prose(120, k).split()
+            for j in range(changed):
+                words[13 + 25 * j + k] = f"new{k}x{changed}x{j}"
+            texts.append(" ".join(words))
+    texts += [" ".join([*prose(100, 3).split()[:60], *prose(60, 50 + k).split()]) for k in range(5)]
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == set(root)
+
+
+def test_the_pipeline_drops_edited_copies(spark):
+    base = prose(120, 1).split()
+    edited = base.copy()
+    edited[30], edited[80] = "other", "another"  # 106 of 126 shingles: 0.84
+    far = " ".join("far" if k % 12 == 5 else w for k, w in enumerate(base))
+    docs = frame(spark, [" ".join(base), " ".join(edited), far])
+    assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect()} == {0, 2}
+
+
+def test_near_copies_of_odd_rows(spark, odd, empty):
+    assert near_copies.near_duplicates(odd).count() == 8 and near_copies.near_duplicates(empty).count() == 0
+    assert near_copies.keep_one(odd).columns == odd.columns
+    assert {r.doc_id for r in near_copies.keep_one(odd).collect()} == {None, 1, 4, 5}
+
+
 def test_every_pair_within_four_bits_meets():
     draw = np.random.default_rng(1)
     low, high = dict(), dict()

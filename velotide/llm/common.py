@@ -113,6 +113,26 @@ def shingle_hashes(counts: np.ndarray, codes: np.ndarray, hashes: np.ndarray, si
     return owner[inside], inside, mixed
 
 
+def all_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words per text, and of every text its shingle hashes; one of fewer than ``size`` words, but with
+    any, has one shingle of them all."""
+    counts, codes, words = encode_words(texts)
+    hashes = word_hashes(words)
+    owner, _, mixed = shingle_hashes(counts, codes, hashes, size)
+    sizes = np.bincount(owner, minlength=len(counts))
+    parts, at, word_at = [], 0, 0
+    for n, many in zip(counts, sizes, strict=True):
+        if 0 < n < size:
+            whole = np.zeros(1, np.uint64)
+            for code in codes[word_at : word_at + n]:
+                whole = scramble(whole * np.uint64(0x9E3779B97F4A7C15) + hashes[code])
+            parts.append(whole)
+        else:
+            parts.append(mixed[at : at + many])
+        at, word_at = at + many, word_at + n
+    return counts, parts
+
+
 def write_shared(uri: str, parts: list[np.ndarray]) -> None:
     """Write a file below the shared folder under its final name only once it is complete, so that
     a retried or speculative task leaves one whole file."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velotide.llm.common import encode_words, free_name, scramble, shingle_hashes, stage, text_slices, word_hashes
+from velotide.llm.common import all_shingles, encode_words, free_name, scramble, shingle_hashes, stage, text_slices, word_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -34,26 +34,6 @@ def _simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _all_shingles(texts: pa.Array):
-    """Words per text, and of every text its shingle hashes; one of fewer than five words, but with
-    any, has one shingle of them all."""
-    counts, codes, words = encode_words(texts)
-    hashes = word_hashes(words)
-    owner, _, mixed = shingle_hashes(counts, codes, hashes, SHINGLE)
-    sizes = np.bincount(owner, minlength=len(counts))
-    parts, at, word_at = [], 0, 0
-    for n, size in zip(counts, sizes, strict=True):
-        if 0 < n < SHINGLE:
-            whole = np.zeros(1, np.uint64)
-            for code in codes[word_at : word_at + n]:
-                whole = scramble(whole * np.uint64(0x9E3779B97F4A7C15) + hashes[code])
-            parts.append(whole)
-        else:
-            parts.append(mixed[at : at + size])
-        at, word_at = at + size, word_at + n
-    return counts, parts
-
-
 ITEM = "item_id long, n int, fp long, shingles array<long>, bits array<int>"
 
 
@@ -65,7 +45,7 @@ def _bits(shingles: np.ndarray, n: int) -> np.ndarray:
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
-        counts, parts = _all_shingles(batch["text"])
+        counts, parts = all_shingles(batch["text"], SHINGLE)
         full = [k for k, p in enumerate(parts) if len(p)]
         yield pa.record_batch(
             [
@@ -109,7 +89,7 @@ def _windows(bit_map: np.ndarray, lengths: list[int]):
             todo = {int(k): (known[begin[k] : begin[k + 1]], mixed[begin[k] : begin[k + 1]]) for k in some}
             short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
             if len(short) and min(lengths, default=SHINGLE) < SHINGLE:
-                _, parts = _all_shingles(batch["text"].take(pa.array(short)))
+                _, parts = all_shingles(batch["text"].take(pa.array(short)), SHINGLE)
                 for k, part in zip(short.tolist(), parts, strict=True):
                     todo[k] = (bit_map[_bits(part, 0)], part)
             out = [], [], [], [], []
