@@ -257,6 +257,14 @@ def test_decontamination_finds_exact_and_near_passages(spark):
     assert left == {0, 5, 6}
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    item = prose(45, 100).split()
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, prose(300, 7)), (2, "a b c d e")], "item_id long, text string")
+    texts = [" ".join(item[:-1]), " ".join(item[4:-4]), " ".join(item[:-9]), " ".join(item[8:]), "a b c d", None]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert {k: (r.word, r.n_words, round(r.similarity * 41)) for k, r in got.items()} == {(0, 0): (0, 44, 40), (1, 0): (0, 37, 33), (3, 0): (0, 37, 33)}
+
+
 def test_differencing_is_tight_and_keeps_groups(spark):
     sizes = np.random.default_rng(3).integers(1, 10_000, 3000)
     parts = sharding.difference(sizes, 16)

@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-A window of a document is compared with an item of as many words. Both are multisets of shingles of
+A window of a document is compared with an item of as many words; a document of fewer words than the
+item is one window. Both are multisets of shingles of
 five words; their similarity is the sum of the smaller counts over the sum of the larger ones.
 
 1. Where windows are laid: similarity 0.8 needs 0.8 of the window's shingles to be shingles of one item
@@ -69,14 +70,16 @@ def _windows(bit_map: np.ndarray, lengths: list[int]):
         places = np.flatnonzero(hits)
         for n in lengths:
             size = max(1, n - SHINGLE + 1)
-            if n > n_words or (n < SHINGLE and n != n_words) or len(places) < SIMILAR * size:
+            # A text of fewer words than the item is one window.
+            laid = min(size, len(shingles))
+            if (min(n, n_words) < SHINGLE and n != n_words) or len(places) < SIMILAR * size:
                 continue
             sums = np.zeros(len(shingles) + 1, np.int64)
             sums[1 + places] = bit_map[_bits(shingles[places], n)]
             sums = np.cumsum(sums)
-            inside = sums[size:] - sums[:-size]
+            inside = sums[laid:] - sums[:-laid]
             for begin in np.flatnonzero(inside >= SIMILAR * size).tolist():
-                yield begin, n, shingles[begin : begin + size]
+                yield begin, n, shingles[begin : begin + laid]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -110,20 +113,21 @@ def _windows(bit_map: np.ndarray, lengths: list[int]):
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact similarity of the two lists of shingles of each row."""
     for batch in batches:
-        values = []
-        for a, b in zip(batch["shingles"].to_pylist(), batch["item_shingles"].to_pylist(), strict=True):
+        values, lengths = [], []
+        for n, a, b in zip(batch["n"].to_pylist(), batch["shingles"].to_pylist(), batch["item_shingles"].to_pylist(), strict=True):
+            lengths.append(n if n < SHINGLE else len(a) + SHINGLE - 1)
             seen, place = np.unique(np.array(a + b, np.int64), return_inverse=True)
             of_a = np.bincount(place[: len(a)], minlength=len(seen))
             of_b = np.bincount(place[len(a) :], minlength=len(seen))
             values.append(float(np.minimum(of_a, of_b).sum() / np.maximum(of_a, of_b).sum()))
         yield pa.record_batch(
-            [batch["doc_id"], batch["item_id"], batch["word"], batch["n"], pa.array(values, pa.float64())],
+            [batch["doc_id"], batch["item_id"], batch["word"], pa.array(lengths, pa.int32()), pa.array(values, pa.float64())],
             ["doc_id", "item_id", "word", "n", "similarity"],
         )
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id``, ``item_id``, ``word`` (place of the first word), ``n_words``, ``similarity`` for
+    """``doc_id``, ``item_id``, ``word`` (place of the first word), ``n_words`` (of the window), ``similarity`` for
     every item (``item_id``, ``text``) of which a window of a row of ``docs`` (``doc_id``, ``text``) has
     the shingles to ``similar`` (0.8) or more.
 
