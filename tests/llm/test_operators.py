@@ -265,6 +265,33 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert {k: (r.word, r.n_words, round(r.similarity * 41)) for k, r in got.items()} == {(0, 0): (0, 44, 40), (1, 0): (0, 37, 33), (3, 0): (0, 37, 33)}
 
 
+def multiset_similarity(a, b):
+    a, b = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in (a, b))
+    a, b = Counter(a), Counter(b)
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+@pytest.mark.parametrize("similar", [0.8, 0.6])
+def test_decontamination_equals_brute_force_at_the_limit(spark, similar):
+    items = [prose(50, 1000 + k).split() for k in range(150)] + [(["again", "and"] * 30)[:45]]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    texts = []
+    for k, item in enumerate(items):  # one word changed: 41 of 51 shingles, 0.804; two: 0.643 or less
+        copy = item.copy()
+        for at in (20, 30)[: 1 + (k % 3 == 0 and similar < 0.8)]:
+            copy[at] = "changed"
+        texts.append(copy if k % 2 else [f"own{k}x{i}" for i in range(3)] + copy + [f"end{k}"])
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(frame(spark, map(" ".join, texts)), bench, similar).collect()}
+    want = {}
+    for k, words in enumerate(texts):
+        for m in (k, (k + 1) % len(items)):
+            n = len(items[m])
+            best = max(multiset_similarity(words[i : i + n], items[m]) for i in range(max(1, len(words) - n + 1)))
+            if best >= similar:
+                want[k, m] = best
+    assert len(want) >= 150 and got == pytest.approx(want)
+
+
 def test_differencing_is_tight_and_keeps_groups(spark):
     sizes = np.random.default_rng(3).integers(1, 10_000, 3000)
     parts = sharding.difference(sizes, 16)

@@ -1,16 +1,16 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Benchmark decontamination: item-sized windows, joined to items on shared shingles, exact check.
 
 A window of a document is compared with an item of as many words; a document of fewer words than the
 item is one window. Both are multisets of shingles of
 five words; their similarity is the sum of the smaller counts over the sum of the larger ones.
 
-1. Where windows are laid: similarity 0.8 needs 0.8 of the window's shingles to be shingles of one item
-   of its length. A bit map of fixed size says which shingles items of a length may have; a window with
-   too few of these cannot match.
-2. Windows and items get a 64-bit SimHash of their shingles. Two that differ in at most 15 bits
-   differ in at most one bit of one of 8 blocks of 8 bits, so that looking up each block of a
-   window and its 8 neighbours finds all fingerprints within the radius.
-3. Candidates within the radius are verified by their exact similarity.
+A window of w shingles and an item of n that are similar to s share at least s / (1 + s) * (w + n) of them.
+
+1. Where windows are laid: a bit map of fixed size says which shingles items of a length may have; a window
+   with fewer of these than it must share cannot match.
+2. In any order that is the same for all, the first shingles of each, one more than may be missing, have one in
+   common (prefix filter). Windows and items are joined on these, so that no match is missed.
+3. Candidates are verified by their exact similarity.
 """
 
 from __future__ import annotations
@@ -26,16 +26,20 @@ from velotide.llm.common import all_shingles, encode_words, free_name, scramble,
 
 SHINGLE = 5
 SIMILAR = 0.8
-RADIUS, BLOCKS = 15, 8
 MAP_BITS = 24  # 16 million bits, 2 MB, whatever the number of items
 
 
-def _simhash(hashes: np.ndarray) -> int:
-    bits = np.unpackbits(np.ascontiguousarray(scramble(hashes)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view("<i8")[0])
+def _first(shingles: np.ndarray, shared: int) -> list[int]:
+    """The distinct ones of the smallest shingles, of which another text with ``shared`` of them has one."""
+    return np.unique(np.sort(shingles)[: len(shingles) - shared + 1]).view(np.int64).tolist()
+
+
+def _least(size: int, n: int, similar: float) -> int:
+    """How many of ``size`` and ``n`` shingles two similar texts share at least."""
+    return max(1, int(np.ceil(similar / (1 + similar) * (size + n) - 1e-9)))
 
 
-ITEM = "item_id long, n int, fp long, shingles array<long>, bits array<int>"
+ITEM = "item_id long, n int, first array<long>, shingles array<long>, bits array<int>"
 
 
 def _bits(shingles: np.ndarray, n: int) -> np.ndarray:
@@ -44,42 +48,49 @@ def _bits(shingles: np.ndarray, n: int) -> np.ndarray:
     return (mixed & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text"):
-        counts, parts = all_shingles(batch["text"], SHINGLE)
-        full = [k for k, p in enumerate(parts) if len(p)]
-        yield pa.record_batch(
-            [
-                batch["item_id"].take(pa.array(full, pa.int64())),
-                pa.array(counts[full].astype(np.int32)),
-                pa.array([_simhash(parts[k]) for k in full], pa.int64()),
-                pa.array([parts[k].view(np.int64) for k in full], pa.list_(pa.int64())),
-                pa.array(
-                    [np.concatenate((_bits(parts[k], 0), _bits(parts[k], int(counts[k])))) for k in full],
-                    pa.list_(pa.int32()),
-                ),
-            ],
-            ["item_id", "n", "fp", "shingles", "bits"],
-        )
+def _items(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            counts, parts = all_shingles(batch["text"], SHINGLE)
+            full = [k for k, p in enumerate(parts) if len(p)]
+            # A shorter window may have the share `similar` of the item's shingles.
+            shared = {k: max(1, int(np.ceil(similar * len(parts[k]) - 1e-9))) for k in full}
+            yield pa.record_batch(
+                [
+                    batch["item_id"].take(pa.array(full, pa.int64())),
+                    pa.array(counts[full].astype(np.int32)),
+                    pa.array([_first(parts[k], shared[k]) for k in full], pa.list_(pa.int64())),
+                    pa.array([parts[k].view(np.int64) for k in full], pa.list_(pa.int64())),
+                    pa.array(
+                        [np.concatenate((_bits(parts[k], 0), _bits(parts[k], int(counts[k])))) for k in full],
+                        pa.list_(pa.int32()),
+                    ),
+                ],
+                ["item_id", "n", "first", "shingles", "bits"],
+            )
+
+    return run
 
 
-def _windows(bit_map: np.ndarray, lengths: list[int]):
+def _windows(bit_map: np.ndarray, lengths: list[int], similar: float):
 
     def of_text(hits: np.ndarray, shingles: np.ndarray, n_words: int):
-        """Begin and length of the windows that may match."""
+        """Begin and length of the windows that may match, and the shingles that they must share in part."""
         places = np.flatnonzero(hits)
         for n in lengths:
             size = max(1, n - SHINGLE + 1)
             # A text of fewer words than the item is one window.
             laid = min(size, len(shingles))
-            if (min(n, n_words) < SHINGLE and n != n_words) or len(places) < SIMILAR * size:
+            shared = _least(laid, size, similar)
+            if (min(n, n_words) < SHINGLE and n != n_words) or shared > min(laid, len(places)):
                 continue
             sums = np.zeros(len(shingles) + 1, np.int64)
             sums[1 + places] = bit_map[_bits(shingles[places], n)]
             sums = np.cumsum(sums)
             inside = sums[laid:] - sums[:-laid]
-            for begin in np.flatnonzero(inside >= SIMILAR * size).tolist():
-                yield begin, n, shingles[begin : begin + laid]
+            for begin in np.flatnonzero(inside >= shared).tolist():
+                part = shingles[begin : begin + laid]
+                yield begin, n, part, _first(part, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -98,13 +109,13 @@ def _windows(bit_map: np.ndarray, lengths: list[int]):
             out = [], [], [], [], []
             ids = batch["doc_id"]
             for k in sorted(todo):
-                for first, n, part in of_text(*todo[k], int(counts[k])):
-                    row = (ids[k].as_py(), first, n, _simhash(part), part.view(np.int64).tolist())
+                for begins, n, part, first in of_text(*todo[k], int(counts[k])):
+                    row = (ids[k].as_py(), begins, n, first, part.view(np.int64).tolist())
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "word", "n", "fp", "shingles"]
+                [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "word", "n", "first", "shingles"]
             )
 
     return run
@@ -138,11 +149,11 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) ->
 
     The table of items is never broadcast, only the bit map of its shingles and the distinct lengths
     of items, which the longest item bounds. With many items the map fills up, which costs more windows but
-    loses none; the lookup of blocks is a join that Spark plans by size.
+    loses none; the lookup of shingles is a join that Spark plans by size.
     """
     spark = docs.sparkSession
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, ITEM)
-    known = stage(known, "items")
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items(similar), ITEM)
+    known = stage(known.withColumn("item_key", F.xxhash64("shingles")), "items")
     lengths = [r.n for r in known.select("n").distinct().orderBy("n").collect()]
     places = known.select(F.explode("bits").alias("bit")).distinct()
     bit_map = np.zeros(1 << MAP_BITS, bool)
@@ -150,35 +161,17 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) ->
     shared = spark.sparkContext.broadcast(np.packbits(bit_map))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _windows(np.unpackbits(shared.value).view(bool), lengths)(batches)
+        yield from _windows(np.unpackbits(shared.value).view(bool), lengths, similar)(batches)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    windows = plain.mapInArrow(lay, "doc_id long, word int, n int, fp long, shingles array<long>")
-    windows = stage(windows, "windows")
-
-    def block(fp, b):
-        return F.shiftrightunsigned(fp, 8 * b).bitwiseAND(F.lit(255)).cast("int")
-
-    one_off = [0] + [1 << k for k in range(64 // BLOCKS)]
-    probes = F.array(*(
-        F.struct(F.lit(b).alias("block"), block(F.col("fp"), b).bitwiseXOR(F.lit(flip)).alias("value"))
-        for b in range(BLOCKS) for flip in one_off
-    ))
-    own = F.array(*(F.struct(F.lit(b).alias("block"), block(F.col("item_fp"), b).alias("value")) for b in range(BLOCKS)))
-    looked = windows.select("doc_id", "word", "n", "fp", F.explode(probes).alias("p")).select("doc_id", "word", "n", "fp", "p.*")
-    listed = known.select("item_id", "n", F.col("fp").alias("item_fp")).select("*", F.explode(own).alias("p")).select("item_id", "n", "item_fp", "p.*")
-    near = (
-        looked.join(listed, ["n", "block", "value"])
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-        .select("doc_id", "word", "n", "fp", "item_id", "item_fp").distinct()
-    )
-    texts = known.select("item_id", "n", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles")).distinct()
-    spread = windows.distinct()
-    both = near.alias("c").join(
-        spread.alias("w"),
-        F.col("c.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("c.word") == F.col("w.word")) & (F.col("c.n") == F.col("w.n")) & (F.col("c.fp") == F.col("w.fp")),
-    ).select("c.doc_id", "c.word", "c.n", "c.item_id", "c.item_fp", "w.shingles")
-    pairs = both.join(texts, ["item_id", "n", "item_fp"]).select("doc_id", "item_id", "word", "n", "shingles", "item_shingles")
+    windows = plain.mapInArrow(lay, "doc_id long, word int, n int, first array<long>, shingles array<long>")
+    windows = stage(windows.distinct().withColumn("key", F.xxhash64("shingles")), "windows")
+    looked = windows.select("n", "key", F.explode("first").alias("shingle")).distinct()
+    listed = known.select("item_id", "n", "item_key", F.explode("first").alias("shingle")).distinct()
+    near = looked.join(listed, ["n", "shingle"]).select("n", "key", "item_id", "item_key").distinct()
+    texts = known.select("item_id", "n", "item_key", F.col("shingles").alias("item_shingles")).distinct()
+    both = windows.join(near, ["n", "key"]).select("doc_id", "word", "n", "item_id", "item_key", "shingles")
+    pairs = both.join(texts, ["item_id", "n", "item_key"]).select("doc_id", "item_id", "word", "n", "shingles", "item_shingles")
     checked = pairs.mapInArrow(_compare, "doc_id long, item_id long, word int, n int, similarity double")
     best = F.max(F.struct("similarity", (-F.col("word")).alias("w"), "n"))
     found = checked.where(F.col("similarity") >= similar).groupBy("doc_id", "item_id").agg(best.alias("b"))
