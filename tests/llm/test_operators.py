@@ -235,6 +235,20 @@ def test_main_text(spark):
     assert sorted(r.n_chars for r in html.extract(rows).collect()) == [0, 40, 40]
 
 
+LONG = "A long sentence of the article, with commas, words and a full stop at its end. " * 4
+
+
+def test_main_text_path_ratios_choose_inside_articles():
+    inner = (
+        f'<h1>Head</h1><p>{LONG}</p><div class="x1">Buy now</div><h2>Part</h2><p>{LONG}</p><p>Short.</p>'
+        f'<div class="x2"><a href="/a">Other story</a> <a href="/b">More stories here</a></div><ul><li>salt</li><li>oil</li></ul><p>{LONG}</p>'
+    )
+    long = LONG.strip()
+    want = "\n".join(["Head", long, "Part", long, "Short.", "salt", "oil", long])
+    assert html.main_text(f"<body><article>{inner}</article></body>") == want
+    assert html.main_text(f'<body><div class="top">Site</div><div class="x0">{inner}</div><div class="end">Imprint</div></body>') == want
+
+
 def test_licenses_are_found_and_prose_is_left_alone(spark):
     notice = licenses.TEMPLATES["mit-permission"]
     broken = notice.replace("free of charge", "free of any charge").replace("Software", "software")

@@ -3,8 +3,8 @@
 A page is read into text nodes, each with the path of tags from the root to its leaf. Per path the
 length of its text and its punctuation are related to the number of its nodes. Both ratios are
 smoothed along the page, fused into one weight, and paths over a share of the greatest weight
-are content. The smallest element that holds the content text is the article; its nodes are the
-result, without what markup says is something else (navigation, forms, notices and the like).
+are content, inside an <article> or <main> too. All content is the result, with headings, lists and tables
+beside it, without what markup says is something else (navigation, forms, notices and the like).
 """
 
 from __future__ import annotations
@@ -53,10 +53,13 @@ NOT_TEXT_NAMES = frozenset(
     "recommended recommendations comment comments commentlist comentarios kommentare disqus respond reply replies "
     "discussion widget widgets toolbar skip skiplink copyright disclaimer paywall".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SMOOTHING = (0.25, 0.5, 0.25)
 THRESHOLD = 0.1  # of the greatest weight of a path
-HOLDS = 0.6  # share of the content text that the article must hold
+# Headings and parts of lists, tables and quotations beside content are text however short they are.
+TEXT_TAGS = HEADINGS | frozenset("li dt dd td th caption figcaption pre blockquote".split())
+LIST_TAGS = frozenset("ul ol dl table thead tbody tfoot tr li td figure blockquote".split())
 MOST_LINKED = 0.7  # a path with more of its text in links is a list of links
 
 
@@ -68,7 +71,6 @@ class Element:
     hidden: bool
     article: bool
     size: int = 0  # content text below it
-    order: int = 0
 
 
 @dataclass
@@ -102,17 +104,20 @@ def _hidden(tag: str, marks: dict[str, str], parent: Element) -> bool:
         return True
     if tag == "header":
         return not parent.article
-    if tag in ("html", "body", "article", "main"):
+    return _named(tag, marks)
+
+
+def _named(tag: str, marks: dict[str, str]) -> bool:
+    if tag in ("html", "body", "article", "main", "header"):
         return False
-    words = _names(f"{marks.get('class', '')} {marks.get('id', '')}")
-    return bool(words & NOT_TEXT_NAMES)
+    return bool(_names(f"{marks.get('class', '')} {marks.get('id', '')}") & NOT_TEXT_NAMES)
 
 
 def parse(page: str) -> list[Block]:
     """The blocks of text of a page, in order, without hidden elements. Tags that are left open or
     closed twice do no harm: a block tag ends an open paragraph, an end tag closes up to its start."""
     root = Element("", "", None, False, False)
-    here, blocks, block, links, at, count = root, [], None, 0, 0, 0
+    here, blocks, block, links, at = root, [], None, 0, 0
 
     def text(raw: str) -> None:
         nonlocal block
@@ -166,10 +171,9 @@ def parse(page: str) -> list[Block]:
         label = tag
         if marks.get("class", "").split():
             label += "." + ".".join(sorted(marks["class"].split()))
-        count += 1
         hidden = here.hidden or _hidden(tag, marks, here)
         article = here.article or tag in ("article", "main") or marks.get("role", "").lower() in ("main", "article")
-        here = Element(tag, f"{here.path}/{label}", here, hidden, article, order=count)
+        here = Element(tag, f"{here.path}/{label}", here, hidden, article)
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -179,6 +183,13 @@ def parse(page: str) -> list[Block]:
     return blocks
 
 
+def _above(element: Element) -> Iterator[Element]:
+    """The element and those around it."""
+    while element is not None:
+        yield element
+        element = element.parent
+
+
 def _ratios(blocks: list[Block], texts: list[str]) -> np.ndarray:
     """The fused weight of every block's path: text length and punctuation per node of the path,
     smoothed along the page."""
@@ -191,8 +202,14 @@ def _ratios(blocks: list[Block], texts: list[str]) -> np.ndarray:
     length = np.array([paths[b.path][0] / paths[b.path][2] for b in blocks])
     marks = np.array([paths[b.path][1] / paths[b.path][2] for b in blocks])
 
+    same = np.array([b.path == a.path for a, b in zip(blocks, blocks[1:])], float)
+    before = SMOOTHING[0] * np.concatenate(([0.0], same))
+    after = SMOOTHING[2] * np.concatenate((same, [0.0]))
+
     def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(np.pad(x, 1, mode="edge"), SMOOTHING, mode="valid")
+        """Over neighbours of the same path, so that long paragraphs do not lift what stands between them."""
+        sums = before * np.roll(x, 1) + SMOOTHING[1] * x + after * np.roll(x, -1)
+        return sums / (before + SMOOTHING[1] + after)
 
     weight = smooth(length) * np.log2(2 + smooth(marks))
     fused: dict[str, list[float]] = {}
@@ -227,28 +244,20 @@ def main_text(page: str | None) -> str:
     ]
     if not content:
         content = list(range(len(blocks)))
-    total, holders = 0, {}
+    chosen, direct = set(content), set()
     for k in content:
-        total += len(texts[k])
-        up = blocks[k].element
-        while up is not None:
+        direct.add(id(blocks[k].element.parent))
+        for up in _above(blocks[k].element):
             up.size += len(texts[k])
-            holders[id(up)] = up
-            up = up.parent
-    holding = [e for e in holders.values() if e.size >= HOLDS * total]
-    article = max(holding, key=lambda e: e.order)
-    if article.tag in ("p", "li", "td", "th", "tr", "blockquote", "pre", "dd") and article.parent is not None:
-        article = article.parent  # one paragraph is not alone an article
-    if article.article:
-        while article.parent is not None and article.parent.article:
-            article = article.parent
-    out, chosen = [], set(content)
+    out = []
     for k, (b, t) in enumerate(zip(blocks, texts, strict=True)):
-        up = b.element
-        while up is not None and up is not article:
-            up = up.parent
-        inside = up is article and (b.path not in lists or b.element.article)
-        if inside or (b.element.article and k in chosen):
+        if k not in chosen and b.path not in lists and b.element.tag in TEXT_TAGS:
+            around = b.element.parent
+            while around.tag in LIST_TAGS and around.parent is not None:
+                around = around.parent
+            if id(around) in direct or (around.size and around.tag not in ("", "html", "body")):
+                chosen.add(k)
+        if k in chosen:
             out.append(t)
     return "\n".join(out)
 
