@@ -249,6 +249,18 @@ def test_main_text_path_ratios_choose_inside_articles():
     assert html.main_text(f'<body><div class="top">Site</div><div class="x0">{inner}</div><div class="end">Imprint</div></body>') == want
 
 
+def test_main_text_loses_no_selected_text():
+    long = LONG.strip()
+    assert html.main_text(f"<body><div><div><p>{long}</p><p>{long}</p></div><div><p>{long}</p></div></div></body>") == "\n".join([long] * 3)
+    for name in ("content no-sidebar", "layout has-sidebar"):
+        assert html.main_text(f'<div class="{name}"><article><p>{long}</p></article></div>') == long
+        assert html.main_text(f'<div class="{name}"><div><p>{long}</p></div></div><div class="ad">Buy</div>') == long
+        assert html.main_text(f'<div class="{name}"><main><p>{long}</p></main><div class="sidebar">Side</div></div>') == long
+    page = f'<article><h2 id="related-work">Related</h2><p>{long}</p><h2 id="discussion">Talk</h2><p>{long}</p><div class="comments"><p>{long}</p></div></article>'
+    assert html.main_text(page) == f"Related\n{long}\nTalk\n{long}"
+    assert html.main_text(f'<article><p>{long}</p></article><div class="related"><article>Teaser.</article></div>') == long
+
+
 def test_licenses_are_found_and_prose_is_left_alone(spark):
     notice = licenses.TEMPLATES["mit-permission"]
     broken = notice.replace("free of charge", "free of any charge").replace("Software", "software")

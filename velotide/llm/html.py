@@ -70,6 +70,8 @@ class Element:
     parent: Element | None
     hidden: bool
     article: bool
+    named: bool = False  # its class or id says that it is something else
+    main: bool = False  # a main element is inside
     size: int = 0  # content text below it
 
 
@@ -104,17 +106,18 @@ def _hidden(tag: str, marks: dict[str, str], parent: Element) -> bool:
         return True
     if tag == "header":
         return not parent.article
-    return _named(tag, marks)
+    return False
 
 
 def _named(tag: str, marks: dict[str, str]) -> bool:
     if tag in ("html", "body", "article", "main", "header"):
         return False
-    return bool(_names(f"{marks.get('class', '')} {marks.get('id', '')}") & NOT_TEXT_NAMES)
+    ids = "" if tag in HEADINGS else marks.get("id", "")  # of a heading it is the anchor of its section
+    return bool(_names(f"{marks.get('class', '')} {ids}") & NOT_TEXT_NAMES)
 
 
 def parse(page: str) -> list[Block]:
-    """The blocks of text of a page, in order, without hidden elements. Tags that are left open or
+    """The blocks of text of a page, in order, without elements that tag, role or style hide. Tags that are left open or
     closed twice do no harm: a block tag ends an open paragraph, an end tag closes up to its start."""
     root = Element("", "", None, False, False)
     here, blocks, block, links, at = root, [], None, 0, 0
@@ -173,7 +176,11 @@ def parse(page: str) -> list[Block]:
             label += "." + ".".join(sorted(marks["class"].split()))
         hidden = here.hidden or _hidden(tag, marks, here)
         article = here.article or tag in ("article", "main") or marks.get("role", "").lower() in ("main", "article")
-        here = Element(tag, f"{here.path}/{label}", here, hidden, article)
+        here = Element(tag, f"{here.path}/{label}", here, hidden, article, _named(tag, marks))
+        if not hidden and (tag == "main" or marks.get("role", "").lower() == "main"):
+            up = here
+            while up is not None and not up.main:
+                up.main, up = True, up.parent
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -190,6 +197,30 @@ def _above(element: Element) -> Iterator[Element]:
         element = element.parent
 
 
+def _without_named(both: list[tuple[Block, str]]) -> list[tuple[Block, str]]:
+    """The blocks without those in elements whose class or id says that they are something else. Names do not
+    hide an element that holds a main element or most of the content: of the text in articles, if there
+    is any, or else of all text. If they would hide all articles, they hide no element with one."""
+    inside = any(b.element.article for b, _ in both)
+    held: dict[int, int] = {}
+    total = 0
+    for b, t in both:
+        if b.element.article or not inside:
+            total += len(t)
+            for up in _above(b.element):
+                held[id(up)] = held.get(id(up), 0) + len(t)
+
+    def hides(e: Element, least: float) -> bool:
+        # An element inside an article is hidden by name unless it is most of the text.
+        return e.named and not e.main and (e.parent.article or held.get(id(e), 0) <= least) and held.get(id(e), 0) <= 0.5 * total
+
+    for least in (0.5 * total, 0):
+        left = [(b, t) for b, t in both if not any(hides(e, least) for e in _above(b.element))]
+        if not inside or any(b.element.article for b, _ in left):
+            break
+    return left
+
+
 def _ratios(blocks: list[Block], texts: list[str]) -> np.ndarray:
     """The fused weight of every block's path: text length and punctuation per node of the path,
     smoothed along the page."""
@@ -226,6 +257,7 @@ def main_text(page: str | None) -> str:
     blocks = parse(page)
     texts = [" ".join("".join(b.parts).split()) for b in blocks]
     both = [(b, t) for b, t in zip(blocks, texts, strict=True) if t]
+    both = _without_named(both)
     if not both:
         return ""
     blocks, texts = [b for b, _ in both], [t for _, t in both]
