@@ -11,6 +11,7 @@ from velotide.llm import (
     html,
     kneser_ney,
     licenses,
+    line_runs,
     mixing,
     quality_rules,
     sharding,
@@ -75,11 +76,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.drop_shared_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix, op2_line_dedup, op3_main_text, op4_kneser_ney, op5_simhash,
         op6_licenses, op7_decontaminate, op8_quality_rules, op9_shards, op10_quality,
+        op13_line_runs,
     )
 }
 
@@ -87,4 +94,5 @@ ORACLES = {
     "op1_mix": mixing.mix_sql(WEIGHTS, REST, SEED),
     "op2_line_dedup": substring.DEDUP_SQL,
     "op8_quality_rules": quality_rules.RULES_SQL,
+    "op13_line_runs": line_runs.DROP_SQL,
 }
