@@ -16,6 +16,7 @@ from velotide.llm import (
     quality_rules,
     sharding,
     simhash,
+    spelling,
     substring,
 )
 from velotide.llm.common import id_fold, read_table
@@ -76,6 +77,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.group_variants(read_table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_runs.drop_shared_lines(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -86,7 +92,7 @@ QUERIES = {
     for f in (
         op1_mix, op2_line_dedup, op3_main_text, op4_kneser_ney, op5_simhash,
         op6_licenses, op7_decontaminate, op8_quality_rules, op9_shards, op10_quality,
-        op13_line_runs,
+        op12_spelling, op13_line_runs,
     )
 }
 
@@ -94,5 +100,6 @@ ORACLES = {
     "op1_mix": mixing.mix_sql(WEIGHTS, REST, SEED),
     "op2_line_dedup": substring.DEDUP_SQL,
     "op8_quality_rules": quality_rules.RULES_SQL,
+    "op12_spelling": spelling.VARIANTS_SQL,
     "op13_line_runs": line_runs.DROP_SQL,
 }
