@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from velotide.llm import (
     classifier,
+    conversations,
     decontaminate,
     html,
     kneser_ney,
@@ -77,6 +78,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.group_variants(read_table(spark, sf_dir, "documents"))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -92,7 +97,7 @@ QUERIES = {
     for f in (
         op1_mix, op2_line_dedup, op3_main_text, op4_kneser_ney, op5_simhash,
         op6_licenses, op7_decontaminate, op8_quality_rules, op9_shards, op10_quality,
-        op12_spelling, op13_line_runs,
+        op11_repair, op12_spelling, op13_line_runs,
     )
 }
 
@@ -100,6 +105,7 @@ ORACLES = {
     "op1_mix": mixing.mix_sql(WEIGHTS, REST, SEED),
     "op2_line_dedup": substring.DEDUP_SQL,
     "op8_quality_rules": quality_rules.RULES_SQL,
+    "op11_repair": conversations.REPAIR_SQL,
     "op12_spelling": spelling.VARIANTS_SQL,
     "op13_line_runs": line_runs.DROP_SQL,
 }
