@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from pyspark.sql import functions as F
 
+from velotide.functions.columns import elapsed_seconds, naive
 from velotide.operators import calendar as CA
 from velotide.operators import features as FE
 from velotide.operators import forecast as FC
 from velotide.operators import global_model as GM
 from velotide.operators import grid as G
+from velotide.operators import moments as MO
 from velotide.operators import regression as RG
 from velotide.operators import weather as W
 from velotide.plans import projection as P
@@ -43,7 +46,7 @@ def additive(spark, sf):
     known = RG.require_horizon(regressors(spark, sf), WEEKS)
     hourly = P.station_hourly(spark, sf)
     return RG.additive_forecasts(
-        hourly, known, holiday_names(spark), WEEKS, P.IDLE_HOURS, yearly=False
+        hourly, known, holiday_names(spark), WEEKS, P.IDLE_HOURS, yearly=False, knot_days=4
     )
 
 
@@ -54,6 +57,85 @@ def _(spark, sf):
     return FC.attach_actuals(hourly, additive(spark, sf), "additive", WEEKS)
 
 
+def small_design(spark):
+    """Five columns of an hour that SQL can say as well: one, years, working day, daily curve, bent trend."""
+    trend = elapsed_seconds(naive(P.START), F.col("ts")) / (86400 * 365.25)
+    x = F.array(
+        F.lit(1.0), trend, (F.weekday("ts") < 5).cast("double"), F.sin(F.hour("ts") * (2 * math.pi / 24)),
+        F.greatest(trend - 0.02, F.lit(0.0)),
+    )
+    return G.hour_spine(spark, P.START, P.END).select("ts", x.alias("x"))
+
+
+OPEN_ROWS = """
+    SELECT r.station_id, w.test_week AS cutoff, r.departures AS y0, r.arrivals AS y1, 1.0::DOUBLE AS x0,
+           (epoch(r.ts) - epoch(TIMESTAMP '2024-01-01')) / (86400 * 365.25) AS x1,
+           CASE WHEN isodow(r.ts) < 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS x2, sin(hour(r.ts) * 2 * pi() / 24) AS x3,
+           greatest((epoch(r.ts) - epoch(TIMESTAMP '2024-01-01')) / (86400 * 365.25) - 0.02, 0.0) AS x4
+    FROM runs r JOIN (SELECT DISTINCT test_week FROM forecast_days) w ON r.ts < w.test_week
+    WHERE NOT (r.idle AND epoch(least(r.run_end + INTERVAL 1 HOUR, w.test_week)) - epoch(r.run_start) >= 6 * 3600)"""
+_PLACES = ["x0", "x1", "x2", "x3", "x4", "y0", "y1"]
+_PAIRS = [(i, j) for j in range(7) for i in range(j + 1) if (i, j) != (5, 6)]
+
+
+@query("g4_moments", with_ctes(
+    "SELECT station_id, cutoff, n, p.i, p.j, p.value FROM (SELECT station_id, cutoff, CAST(count(*) AS DOUBLE) AS n, unnest(["
+    + ", ".join(f"{{'i': {i}, 'j': {j}, 'value': CAST(sum({_PLACES[i]} * {_PLACES[j]}) AS DOUBLE)}}" for i, j in _PAIRS)
+    + "]) AS p FROM open_rows GROUP BY 1, 2)", open_rows=OPEN_ROWS), doubles="n value")
+def _(spark, sf):
+    """Sums of products over the hours in service as of each week, from buckets and closed runs."""
+    table = MO.moments_table(P.station_hourly(spark, sf), small_design(spark), WEEKS, 5, P.IDLE_HOURS)
+    return table
+
+
+@query("g4_ridge", with_ctes("""
+    SELECT station_id, cutoff, target, (sy - slope * sx / scale) / n AS intercept, slope / scale AS slope,
+           sqrt(greatest(syy - 2 * ((sy - slope * sx / scale) / n * sy + slope / scale * sxy)
+                + (sy - slope * sx / scale) / n * (sy - slope * sx / scale) / n * n
+                + 2 * (sy - slope * sx / scale) / n * slope / scale * sx + slope / scale * slope / scale * sxx, 0) / n) AS noise
+    FROM (SELECT *, (sxy / scale - sx / scale * sy / n) / (sxx / scale / scale + 1 - sx / scale * sx / scale / n) AS slope
+          FROM (SELECT *, sqrt(sxx / n) AS scale
+                FROM (SELECT station_id, cutoff, t.target, count(*) AS n, sum(x3 + 2) AS sx, sum((x3 + 2) * (x3 + 2)) AS sxx,
+                             sum(t.y) AS sy, sum(t.y * t.y) AS syy, sum((x3 + 2) * t.y) AS sxy
+                      FROM (SELECT station_id, cutoff, x3, unnest([{'target': 'departures', 'y': y0}, {'target': 'arrivals', 'y': y1}]) AS t
+                            FROM open_rows) GROUP BY 1, 2, 3)))""", open_rows=OPEN_ROWS),
+    doubles="intercept slope noise")
+def _(spark, sf):
+    """Ridge with one column besides the intercept, solved from the sums."""
+    design = small_design(spark).select("ts", F.array(F.lit(1.0), F.get("x", F.lit(3)) + 2).alias("x"))
+    found = MO.ridge_table(P.station_hourly(spark, sf), design, WEEKS, 2, P.IDLE_HOURS, 1.0)
+    return found.select(
+        "station_id", "cutoff", "target", F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("slope"), "noise"
+    )
+
+
+def contract(preds):
+    """One row of counts and sums that hold for any model: rows, what they span, and what must not be."""
+    bad = F.coalesce((F.col("yhat") < 0) | F.isnan("yhat"), F.lit(True))
+    if "yhat_lower" in preds.columns:
+        ordered = (F.col("yhat_lower") >= 0) & (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+        bad = bad | ~F.coalesce(ordered, F.lit(False))
+    return preds.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("station_id").alias("stations"),
+        F.count_distinct("ts").alias("n_hours"), F.count_distinct("test_week").alias("weeks"),
+        F.sum("y").cast("double").alias("y"), F.count_if("in_service").alias("in_service"), F.count_if(bad).alias("bad"),
+    )
+
+
+CONTRACT = """
+    SELECT 2 * count(*) AS n_rows, count(DISTINCT s.station_id) AS stations, count(DISTINCT s.ts) AS n_hours,
+           count(DISTINCT s.test_week) AS weeks, CAST(sum(s.departures + s.arrivals) AS DOUBLE) AS y,
+           2 * count(*) FILTER (WHERE f.in_service) AS in_service, CAST(0 AS BIGINT) AS bad
+    FROM slots s JOIN flagged f ON f.station_id = s.station_id AND f.ts = s.ts"""
+
+
+@query("g4_contract", with_ctes(CONTRACT), doubles="y")
+def _(spark, sf):
+    """The regressions forecast every station and hour once, with ordered bounds that are not below 0."""
+    hourly = G.flag_in_service(P.station_hourly(spark, sf), P.IDLE_HOURS)
+    return contract(FC.attach_actuals(hourly, additive(spark, sf), "additive", WEEKS))
+
+
 @query("g5_horizon", with_ctes("""
     SELECT d.test_week, count(*) * 24 AS hours, CAST(0 AS BIGINT) AS missing
     FROM forecast_days d GROUP BY 1"""))
