@@ -14,6 +14,7 @@ from velotide.operators import forecast as FC
 from velotide.operators import global_model as GM
 from velotide.operators import grid as G
 from velotide.operators import moments as MO
+from velotide.operators import network as NN
 from velotide.operators import regression as RG
 from velotide.operators import weather as W
 from velotide.plans import projection as P
@@ -172,6 +173,34 @@ def _(spark, sf):
     return FC.attach_actuals(G.flag_in_service(hourly, P.IDLE_HOURS), forecasts, "global", WEEKS)
 
 
+def network(spark, sf, epochs=40):
+    hourly = materialize(P.station_hourly(spark, sf))
+    return hourly, *NN.network_forecasts(
+        hourly, filled_weather(spark, sf), calendar(spark), WEEKS, VAL_DAYS, P.IDLE_HOURS, epochs=epochs
+    )
+
+
+@query("g6_network")
+def _(spark, sf):
+    """Long predictions of the network with a learned vector per station."""
+    hourly, forecasts, _ = network(spark, sf)
+    return FC.attach_actuals(G.flag_in_service(hourly, P.IDLE_HOURS), forecasts, "network", WEEKS)
+
+
+@query("g6_network_contract", with_ctes(CONTRACT), doubles="y")
+def _(spark, sf):
+    """The network forecasts every station and hour once, never below 0."""
+    hourly, forecasts, _ = network(spark, sf, epochs=2)
+    return contract(FC.attach_actuals(G.flag_in_service(hourly, P.IDLE_HOURS), forecasts, "network", WEEKS))
+
+
+@query("g6_contract", with_ctes(CONTRACT), doubles="y")
+def _(spark, sf):
+    """The generalised linear model forecasts every station and hour once, never below 0."""
+    hourly, forecasts, _ = global_model(spark, sf)
+    return contract(FC.attach_actuals(G.flag_in_service(hourly, P.IDLE_HOURS), forecasts, "global", WEEKS))
+
+
 @query("g7_masked_losses", with_ctes("""
     SELECT model, target,
            sum(abs(y - yhat)) FILTER (WHERE in_service) / count(*) FILTER (WHERE in_service) AS l1,
@@ -224,13 +253,44 @@ def _(spark, sf):
     return log.select("cutoff", "train_samples", "val_samples", "chosen_loss", F.inline("runs"))
 
 
+@query("g9_network_choice", with_ctes(f"""
+    SELECT CAST(w.week AS VARCHAR) AS cutoff, s.n * (w.days - 7 - {VAL_DAYS}) AS train_samples,
+           s.n * {VAL_DAYS} AS val_samples, CAST(2 AS BIGINT) AS candidates, true AS least
+    FROM (VALUES (DATE '2024-01-15', 14), (DATE '2024-01-22', 21)) w(week, days),
+         (SELECT count(*) AS n FROM station_ids) s"""))
+def _(spark, sf):
+    """Of each week: its station-days, and whether the chosen loss has the least validation error."""
+    _, _, log = network(spark, sf, epochs=2)
+    chosen = F.filter("runs", lambda r: r["loss"] == F.col("chosen_loss"))[0]["val_mae"]
+    least = F.array_min(F.transform("runs", lambda r: r["val_mae"]))
+    return log.select(
+        "cutoff", "train_samples", "val_samples", F.size("runs").cast("long").alias("candidates"), (chosen == least).alias("least")
+    )
+
+
+@query("g12_cutoff_sums", with_ctes(f"""
+    SELECT w.week AS cutoff, count(*) AS hours, avg(h.departures) AS departures, avg(h.arrivals) AS arrivals,
+           avg(h.departures) FILTER (WHERE hour(h.ts) = 8) AS departures_at_8
+    FROM (VALUES (TIMESTAMP '2024-01-15'), (TIMESTAMP '2024-01-22')) w(week)
+    JOIN hourly h ON h.ts >= TIMESTAMP '2024-01-08' AND h.ts < w.week - INTERVAL {VAL_DAYS} DAY
+    GROUP BY 1"""), doubles="departures arrivals departures_at_8")
+def _(spark, sf):
+    """What every cutoff reads off running sums by day: hours that train, and the means of the outputs."""
+    days = NN.station_days(P.station_hourly(spark, sf), filled_weather(spark, sf), calendar(spark), P.IDLE_HOURS)
+    rows = [
+        (str(c.week), 24 * c.train_samples, *(float(c.level[i : i + 24].mean()) for i in (0, 24)), float(c.level[8]))
+        for c in NN.read_cutoffs(materialize(days), WEEKS, VAL_DAYS)
+    ]
+    schema = "cutoff string, hours long, departures double, arrivals double, departures_at_8 double"
+    return spark.createDataFrame(rows, schema).withColumn("cutoff", F.col("cutoff").cast("timestamp_ntz"))
+
+
 @query("g10_prediction_inputs", with_ctes("""
-    SELECT d.test_week, u.station_id, u.ts,
+    SELECT d.test_week, l.station_id, l.ts,
            l.departures_lag24, l.departures_lag168, l.departures_same_hour_mean_7d,
            c.closed_d1, c.closed_d7
     FROM forecast_days d
-    JOIN user_hourly u ON CAST(u.ts AS DATE) = CAST(d.day AS DATE)
-    JOIN user_lags l ON l.station_id = u.station_id AND l.ts = u.ts
+    JOIN user_lags l ON CAST(l.ts AS DATE) = CAST(d.day AS DATE)
     JOIN (SELECT r.station_id, r.day,
                  avg(CASE WHEN r.closed THEN 1.0 ELSE 0.0 END) FILTER (WHERE back = 1) AS closed_d1,
                  avg(CASE WHEN r.closed THEN 1.0 ELSE 0.0 END) FILTER (WHERE back = 7) AS closed_d7
@@ -241,7 +301,7 @@ def _(spark, sf):
                 JOIN (SELECT day, back, CAST(day - back * INTERVAL 1 DAY AS DATE) AS date
                       FROM forecast_days CROSS JOIN (VALUES (1), (7)) AS b(back)) g
                   ON CAST(q.ts AS DATE) = g.date) r
-          GROUP BY 1, 2) c ON c.station_id = u.station_id AND c.day = d.day"""),
+          GROUP BY 1, 2) c ON c.station_id = l.station_id AND c.day = d.day""", materialized=("user_hourly", "user_runs", "user_lags")),
     doubles="departures_same_hour_mean_7d closed_d1 closed_d7")
 def _(spark, sf):
     """Inputs for each forecast day of sparse series, closures as they were known at midnight."""

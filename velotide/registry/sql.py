@@ -156,8 +156,9 @@ CTES: dict[str, str] = {
 }
 
 
-def with_ctes(body: str, recursive: bool = False, **extra: str) -> str:
-    """Prefix ``body`` with the CTEs it names, and those they name, in order of dependency."""
+def with_ctes(body: str, recursive: bool = False, materialized: tuple[str, ...] = (), **extra: str) -> str:
+    """Prefix ``body`` with the CTEs it names, and those they name, in order of dependency. Those of
+    ``materialized`` are computed once, whatever the plan."""
     known = {**CTES, **extra}
     ordered: list[str] = []
 
@@ -170,6 +171,6 @@ def with_ctes(body: str, recursive: bool = False, **extra: str) -> str:
     visit(body, ())
     if not ordered:
         return body
-    parts = ",\n".join(f"{name} AS ({known[name].strip()})" for name in ordered)
+    parts = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in materialized else ''}({known[name].strip()})" for name in ordered)
     keyword = "WITH RECURSIVE" if recursive else "WITH"
     return f"{keyword} {parts}\n{body.strip()}"
