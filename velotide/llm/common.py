@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +33,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_and_release(df: DataFrame, name: str) -> DataFrame:
+    """``stage``, and then a collection of the driver's garbage: Spark deletes the shuffle files of plans that
+    nobody holds any more only then, and a long chain of stages would keep them all on disk."""
+    written = stage(df, name)
+    del df
+    gc.collect()
+    written.sparkSession.sparkContext._jvm.System.gc()
+    return written
+
+
 def id_fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a row without an id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % folds
