@@ -119,6 +119,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ``base_failed`` (under 50 words, or over half of them in repeated windows) and ``kept``.
 
     A null text has no words. Empty and blank texts fail. Rows may repeat. Nothing is shuffled.
+    The default rules ask for stop words of English, German, French or Spanish, so that texts in other languages are not
+    kept; give ``rules`` without ``stop_share`` for them.
     """
     text = F.coalesce("text", F.lit(""))
     parts = docs.select(
