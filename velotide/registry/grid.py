@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from velotide.functions.columns import naive
+from velotide.operators import closures as C
 from velotide.operators import grid as G
 from velotide.plans import projection as P
 from velotide.registry.base import query
@@ -74,10 +76,7 @@ def _(spark, sf):
 CUTOFFS = [datetime(2024, 1, d) for d in (5, 9, 15, 22, 30)]
 
 
-@query(
-    "d8_closure_mask_as_of",
-    with_ctes(
-        """
+AS_OF = """
         SELECT cutoff, station_id, ts, departures, arrivals, net_flow,
                NOT (idle AND count(*) OVER (PARTITION BY cutoff, station_id, idle, island) >= 48)
                    AS in_service
@@ -90,10 +89,75 @@ CUTOFFS = [datetime(2024, 1, d) for d in (5, 9, 15, 22, 30)]
               JOIN (VALUES (TIMESTAMP '2024-01-05'), (TIMESTAMP '2024-01-09'),
                            (TIMESTAMP '2024-01-15'), (TIMESTAMP '2024-01-22'),
                            (TIMESTAMP '2024-01-30')) c(cutoff) ON h.ts < c.cutoff)"""
+
+
+@query("d8_closure_mask_as_of", with_ctes(AS_OF))
+def _(spark, sf):
+    return G.visible_before_each(P.user_hourly(spark, sf), CUTOFFS)
+
+
+def week():
+    """The bounds of the pieces of the given tables, which cover less than two months."""
+    return F.trunc(F.col("ts").cast("date"), "week").cast("timestamp_ntz")
+
+
+@query(
+    "d7_idle_summaries",
+    with_ctes(
+        """
+        SELECT station_id, piece, min(ts) AS low, max(ts) AS high, count(*) AS hours,
+               min(ts) FILTER (WHERE busy) AS first_busy, max(ts) FILTER (WHERE busy) AS last_busy,
+               count(*) FILTER (WHERE gap >= 48) AS n_runs,
+               CAST(coalesce(sum(gap) FILTER (WHERE gap >= 48), 0) AS BIGINT) AS run_hours
+        FROM (SELECT *, CASE WHEN busy THEN date_diff('hour', lag(ts) OVER (
+                            PARTITION BY station_id, piece, busy ORDER BY ts), ts) - 1 END AS gap
+              FROM (SELECT station_id, ts, CAST(date_trunc('week', ts) AS TIMESTAMP) AS piece,
+                           departures <> 0 OR arrivals <> 0 AS busy
+                    FROM user_hourly))
+        GROUP BY station_id, piece"""
     ),
 )
 def _(spark, sf):
-    return G.visible_before_each(P.user_hourly(spark, sf), CUTOFFS)
+    """A row per station and week: bounds, busy ends, long runs inside."""
+    found = C.idle_summaries(P.user_hourly(spark, sf), week())
+    one = F.transform("runs", lambda r: F.timestamp_diff("HOUR", r["run_start"], r["run_end"]) + 1)
+    total = F.aggregate(one, F.lit(0).cast("long"), lambda done, n: done + n)
+    return found.select(
+        *[c for c in found.columns if c != "runs"],
+        F.size("runs").cast("long").alias("n_runs"),
+        total.alias("run_hours"),
+    )
+
+
+@query(
+    "d7_closed_runs",
+    with_ctes(
+        """
+        SELECT station_id, min(ts) AS run_start, max(ts) AS run_end
+        FROM (SELECT station_id, ts, ts - row_number() OVER (PARTITION BY station_id ORDER BY ts)
+                                          * INTERVAL 1 HOUR AS island
+              FROM user_flagged WHERE NOT in_service)
+        GROUP BY station_id, island"""
+    ),
+)
+def _(spark, sf):
+    """Runs of whole series, merged from summaries of weeks."""
+    runs = C.closed_runs(C.idle_summaries(P.user_hourly(spark, sf), week()))
+    return runs.select("station_id", F.inline("runs"))
+
+
+@query("d7_closure_mask_merged", with_ctes("SELECT * FROM user_flagged"))
+def _(spark, sf):
+    hourly = P.user_hourly(spark, sf)
+    return C.flag_from_runs(hourly, C.closed_runs(C.idle_summaries(hourly, week())))
+
+
+@query("d8_closure_mask_as_of_merged", with_ctes(AS_OF))
+def _(spark, sf):
+    hourly = P.user_hourly(spark, sf)
+    runs = C.closed_runs(C.idle_summaries(hourly, week()))
+    every = F.explode(F.array(*[naive(c) for c in CUTOFFS]))
+    return C.flag_as_of(hourly.withColumn("cutoff", every), runs, F.col("cutoff"))
 
 
 @query(
