@@ -10,6 +10,7 @@ from velotide.operators import calendar as CA
 from velotide.operators import features as FE
 from velotide.operators import grid as G
 from velotide.operators import weather as W
+from velotide.registry import load
 
 
 def ramp(spark, days=10):
@@ -79,6 +80,22 @@ def test_scaling_of_a_constant_column_is_one(spark):
     assert got["wind_kmh_std"] == 1.0 and got["wind_kmh_mean"] == 3.0
 
 
+def test_published_deviation_of_a_constant_column_is_zero(spark, tmp_path):
+    """So much rain in every hour that the clip leaves one value: its SQL gives a deviation of 0."""
+    events = (
+        spark.range(24 * 30 * 70)
+        .withColumn("ts", F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(hours=F.expr("int(id div 70)")))
+        .select(
+            F.col("id").alias("event_id"), "ts", (F.col("id") % 3).alias("user_id"),
+            F.lit("error").alias("event_type"), F.lit(50.0).alias("value"),
+            F.lit('{"k": 4}').alias("props"),
+        )
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = load()[0]["f8_weather_scaling"](spark, str(tmp_path)).first()
+    assert got["precip_log_std"] == 0.0 and got["precip_log_mean"] == round(math.log(31), 6)
+
+
 def test_features_of_a_day_do_not_see_it(spark):
     """Demand from day D on is replaced: no feature of D may move."""
     data = hourly(spark, {"A": (commute(16, 1), commute(16, 2))})

@@ -88,18 +88,23 @@ def with_closed_share(flagged: DataFrame) -> DataFrame:
     )
 
 
-def weather_scaling(table: DataFrame) -> DataFrame:
-    """One row with mean and sample deviation per weather column; a deviation of 0 becomes 1."""
+def weather_statistics(table: DataFrame) -> DataFrame:
+    """One row with mean and sample deviation per weather column, as they are."""
     aggregates = []
     for c in HOURLY_WEATHER:
-        deviation = F.stddev_samp(c)
-        aggregates += [
-            F.avg(c).alias(f"{c}_mean"),
-            F.when(deviation == 0, F.lit(1.0)).otherwise(deviation).alias(f"{c}_std"),
-        ]
+        aggregates += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
     return table.agg(*aggregates)
 
 
+def weather_scaling(table: DataFrame) -> DataFrame:
+    """The same for use as a divisor: a deviation of 0 becomes 1."""
+    stds = {
+        f"{c}_std": F.when(F.col(f"{c}_std") == 0, F.lit(1.0)).otherwise(F.col(f"{c}_std"))
+        for c in HOURLY_WEATHER
+    }
+    return weather_statistics(table).withColumns(stds)
+
+
 def standardized(table: DataFrame, scaling: DataFrame) -> DataFrame:
     """Weather columns with the fitted mean and deviation applied, read as scalar subqueries."""
     return table.withColumns(
