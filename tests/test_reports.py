@@ -101,6 +101,17 @@ def test_morning_flow_is_signed_and_needs_whole_working_mornings(spark):
     assert [(r["date"], r["forecast"], r["actual"]) for r in got] == [(MON.date(), -12.0, -12.0)]
 
 
+def test_net_flow_does_not_depend_on_the_order_of_rows(spark):
+    """0.1 + 0.2 + 0.7 is 1 as doubles, and less in the other order: a threshold of 1 would see both."""
+    values = [("arrivals", h, v) for h, v in ((7, 0.1), (8, 0.2), (9, 0.7))]
+    values += [("departures", h, 0.0) for h in (7, 8, 9)]
+    found = set()
+    for order in (values, values[::-1], values[1:] + values[:1]):
+        rows = [row("m", MON, h, target, v, v) for target, h, v in order]
+        found.add(A.morning_net_flow(frame(spark, rows, SCHEMA).coalesce(1), "m").first()["forecast"])
+    assert found == {1.0}
+
+
 def test_station_scores_and_bias(spark):
     rows = [row("historical_average", MON, 8, "arrivals", 4, 2), row("best", MON, 8, "arrivals", 4, 5)]
     info = spark.createDataFrame([("A", "Alder", 10)], "canonical_id string, name string, rank_volume long")

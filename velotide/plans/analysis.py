@@ -106,12 +106,17 @@ def coverage_extremes(by_hour: DataFrame) -> DataFrame:
 
 def net_flow(rows: DataFrame, by: list[str], hours: tuple[int, int]) -> DataFrame:
     """Forecast and actual arrivals minus departures per group, for groups with every hour of the
-    window for both targets, so that a partial closure cannot look like a drain."""
+    window for both targets, so that a partial closure cannot look like a drain.
+
+    Sums are of decimals: those of doubles depend on the order of the rows, and a flow that lies on a
+    threshold would fall on either side of it from run to run.
+    """
     low, high = hours
     arrivals = F.col("target") == "arrivals"
 
     def signed(c: str) -> Column:
-        return F.sum(F.when(arrivals, F.col(c)).otherwise(-F.col(c)))
+        exact = F.when(arrivals, F.col(c)).otherwise(-F.col(c)).cast("decimal(28,18)")
+        return F.sum(exact).cast("double")
 
     return (
         rows.filter(F.col("hour").between(low, high - 1))
