@@ -109,3 +109,24 @@ def test_session_zone_does_not_bend_hours(spark, trips):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got["ts"] == datetime(2024, 3, 10, 2)
+
+
+def test_empty_hours_are_neither_aggregated_nor_sent(spark, monkeypatch):
+    """Ten stations of 48 hours, four to a task: hours unfold after the last shuffle, windows included."""
+    monkeypatch.setattr(G, "GRID_ROWS", 4 * 48)
+    trips = spark.range(30).select(
+        F.concat(F.lit("S"), (F.col("id") % 9).cast("string")).alias("start_station_id"),
+        F.lit(START + timedelta(hours=5)).cast("timestamp_ntz").alias("started_at"),
+        F.lit("S8").alias("end_station_id"),
+        F.lit(START + timedelta(hours=47, minutes=59)).cast("timestamp_ntz").alias("ended_at"),
+    )
+    stations = spark.range(10).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("station_id"))
+    grid = G.flag_in_service(G.hourly_counts(trips, stations, START, START + timedelta(hours=48)))
+    above = grid._jdf.queryExecution().executedPlan().toString().split("Generate explode(sequence")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    assert grid.rdd.getNumPartitions() == 3
+    rows = grid.collect()
+    assert len({(r["station_id"], r["ts"]) for r in rows}) == len(rows) == 480
+    assert sum(r["departures"] for r in rows) == 30 and sum(r["arrivals"] for r in rows) == 30
+    assert {r["ts"].hour for r in rows if r["departures"]} == {5}
+    assert [r["arrivals"] for r in rows if r["arrivals"]] == [30]

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velotide.functions.columns import days, hour_floor, hours, naive
-from velotide.session import small_side
+from velotide.session import small_side, written
 from velotide.settings import CLOSED_MIN_HOURS, SYSTEM_ID
 
+# Hours of all stations that one task unfolds and its windows sort: about 100 MB.
+GRID_ROWS = 1 << 19
+
 
 def hour_array(start: datetime, end: datetime) -> Column:
     """All hours of [start, end) as one array, exploded where it is needed."""
@@ -90,15 +93,18 @@ def hourly_counts(
 ) -> DataFrame:
     """Zero-filled departures, arrivals and net flow per selected station and hour.
 
-    Grid rows enter the same aggregation as the trip ends, as rows that count for nothing. That
-    takes one shuffle, whose map side already folds a busy station to one row per hour and task,
-    where two left joins onto the grid would take three. Ends at stations that are not on the grid
-    form groups without a grid row and are dropped after it; ``selective`` drops them before it,
+    Only hours with a trip end are aggregated and shuffled, after a map-side step that folds a busy
+    station to one row per hour and task. Every station adds one row just before the range; each row
+    then unfolds itself and the empty hours up to the next one, after the last shuffle, so that no
+    empty hour is hashed or sent. Stations are dealt to as many tasks as keep ``GRID_ROWS`` hours in
+    one, and stay dealt for the windows that follow. Ends at stations that are not on the grid form
+    groups without that first row and are dropped; ``selective`` drops them before the aggregation,
     which pays when the selected stations are a small part of all.
     """
+    stations = written(stations.select("station_id"), "stations")
     ends = to_canonical(trip_end_hours(trips, start, end), crosswalk)
     if selective:
-        ends = ends.join(small_side(stations.select("station_id")), "station_id", "left_semi")
+        ends = ends.join(small_side(stations), "station_id", "left_semi")
     ends = ends.select(
         "station_id",
         "ts",
@@ -107,28 +113,54 @@ def hourly_counts(
         F.lit(False).alias("on_grid"),
     )
     nothing = F.lit(0).cast("bigint")
-    grid = station_grid(stations, start, end).select(
+    first = stations.select(
         "station_id",
-        "ts",
+        (naive(start) - hours(1)).alias("ts"),
         nothing.alias("departures"),
         nothing.alias("arrivals"),
         F.lit(True).alias("on_grid"),
     )
-    return (
-        grid.unionByName(ends)
+    known = (
+        first.unionByName(ends)
         .groupBy("station_id", "ts")
         .agg(
             F.sum("departures").alias("departures"),
             F.sum("arrivals").alias("arrivals"),
             F.max("on_grid").alias("on_grid"),
         )
-        .filter("on_grid")
+    )
+    n_hours = int((end - start).total_seconds() // 3600)
+    tasks = max(1, -(-stations.count() * n_hours // GRID_ROWS))
+    by_time = Window.partitionBy("station_id").orderBy("ts")
+    following = F.coalesce(F.lead("ts").over(by_time), naive(end))
+    here = F.col("hour") == F.col("ts")
+    return (
+        known.repartition(tasks, "station_id")
         .select(
             "station_id",
             "ts",
-            F.col("departures").cast("int").alias("departures"),
-            F.col("arrivals").cast("int").alias("arrivals"),
-            (F.col("arrivals") - F.col("departures")).cast("int").alias("net_flow"),
+            "departures",
+            "arrivals",
+            F.first("on_grid").over(by_time).alias("on_grid"),
+            following.alias("following"),
+        )
+        .filter("on_grid")
+        .withColumn(
+            "hour",
+            F.explode(
+                F.sequence("ts", F.col("following") - hours(1), F.expr("INTERVAL '1' HOUR"))
+            ),
+        )
+        .filter(F.col("hour") >= naive(start))
+        .select(
+            "station_id",
+            F.col("hour").alias("ts"),
+            F.when(here, F.col("departures")).otherwise(0).cast("int").alias("departures"),
+            F.when(here, F.col("arrivals")).otherwise(0).cast("int").alias("arrivals"),
+            F.when(here, F.col("arrivals") - F.col("departures"))
+            .otherwise(0)
+            .cast("int")
+            .alias("net_flow"),
         )
     )
 
