@@ -93,6 +93,26 @@ def test_ingest_skips_months_that_are_there(spark, tmp_path):
     assert sorted((r["month"], r["ride_id"]) for r in stored.collect()) == [("202401", "R1"), ("202402", "R2")]
 
 
+def test_trips_are_not_dealt_to_tasks_by_month(spark, tmp_path, monkeypatch):
+    """However large the tables look to the planner, the months to ingest are a broadcast side."""
+    plans = []
+    label = ST.label_rows
+
+    def seen(trips, file_column):
+        plans.append(trips._jdf.queryExecution().executedPlan().toString())
+        return label(trips, file_column)
+
+    monkeypatch.setattr(ST, "label_rows", seen)
+    january = month_rows(spark, tmp_path, "202401", ride("R1", "2024-01-03"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        log = ST.ingest_new_months(january, str(tmp_path / "trips"))
+        assert [(r["month"], r["rows_out"]) for r in log.collect()] == [("202401", 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[0] and "Exchange hashpartitioning(month" not in plans[0]
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()

@@ -129,22 +129,27 @@ def first_copies(trips: DataFrame, file_column: str = "source_file") -> DataFram
     Copies share the ride ID; in a file where any ride ID is missing they share the whole row
     (NULL equals NULL). "First" is file order, carried in ``row_order``. This is an aggregation
     with a map-side step rather than a ranking window: a trip repeated millions of times is folded
-    in every task before anything is shuffled.
+    in every task before anything is shuffled. Where the whole row is the key it is not carried again.
     """
     lacks_ids = trips.groupBy(file_column).agg(
         F.bool_or(F.col("ride_id").isNull()).alias("_whole_row")
     )
-    whole_row = F.when(
-        F.col("_whole_row"), F.struct(*[c for c in UNIFIED_COLUMNS if c != "ride_id"])
-    )
-    picked = F.min(F.struct("row_order", *UNIFIED_COLUMNS)).alias("_first")
+    rest = [c for c in UNIFIED_COLUMNS if c != "ride_id"]
+    whole_row = F.when(F.col("_whole_row"), F.struct(*rest))
+    other = F.when(~F.col("_whole_row"), F.struct(*rest)).alias("_rest")
+    picked = F.min(F.struct("row_order", other)).alias("_first")
+    first = F.coalesce("_key", "_first._rest")
     # One row per input file, a list that the driver holds already to plan the scan.
     return (
         trips.join(F.broadcast(lacks_ids), file_column)
         .groupBy(file_column, "ride_id", whole_row.alias("_key"))
         .agg(picked, F.count("*").alias("copies"))
-        .select(file_column, "_first.*", "copies")
-        .drop("row_order")
+        .withColumn("_row", first)
+        .select(
+            file_column,
+            *[F.col("ride_id") if c == "ride_id" else F.col(f"_row.{c}") for c in UNIFIED_COLUMNS],
+            "copies",
+        )
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velotide.operators.cleaning import RULES, kept_rows, label_rows, removed_counts
-from velotide.session import written
+from velotide.session import small_side, written
 
 SNAPSHOT_COLUMNS = (
     "model", "test_week", "station_id", "ts", "target", "y", "yhat", "yhat_lower", "yhat_upper",
@@ -54,10 +54,11 @@ def ingest_new_months(trips: DataFrame, path: str, log: DataFrame | None = None)
     """Clean and store the months of ``trips`` that ``path`` does not have yet; return the new log.
 
     ``trips`` is normalized and has row_order and month. Running it again changes nothing. The
-    labelled rows feed both the table and the log, so they are written once in between.
+    labelled rows feed both the table and the log, so they are written once in between. The months
+    are few and broadcast: a join that shuffled the trips by month would leave each month to one task.
     """
     present = read_if_present(trips.sparkSession, path)
-    todo = months_to_ingest(trips.select("month").distinct(), present)
+    todo = small_side(months_to_ingest(trips.select("month").distinct(), present))
     labelled = written(label_rows(trips.join(todo, "month", "left_semi"), "month"), "labelled")
     write_months(kept_rows(labelled), path)
     counts = removed_counts(labelled, "month").select("month", "rows_in", *RULES, "rows_out")
