@@ -132,6 +132,34 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert [(r["rows_in"], r["duplicate"], r["rows_out"]) for r in counts] == [(3, 1, 2), (1, 0, 1)]
 
 
+def test_stream_cleans_a_month_once_a_run(spark, tmp_path, monkeypatch):
+    """Three files of one month in three batches; then a run that breaks off before it cleans."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    table, log, state = (str(tmp_path / n) for n in ("trips", "log", "state"))
+    cleaned, label = [], IN.label_rows
+    monkeypatch.setattr(IN, "label_rows", lambda rows, c: cleaned.append(1) or label(rows, c))
+
+    def run():
+        stream = IN.csv_stream(spark, str(raw), HEADER.split(","), files_per_batch=1)
+        IN.ingest_available(stream, table, log, state)
+        return spark.read.parquet(log).first()["rows_in"]
+
+    def add(day):
+        (raw / f"202401-{day}.csv").write_text("\n".join([HEADER, ride(f"R{day}", f"2024-01-0{day}")]))
+
+    for day in (1, 2, 3):
+        add(day)
+    assert (run(), len(cleaned)) == (3, 1)
+    assert (run(), len(cleaned)) == (3, 1)
+    add(4)
+    with monkeypatch.context() as broken:
+        broken.setattr(IN, "clean_touched_months", lambda *_: None)
+        assert run() == 3
+    assert (run(), len(cleaned)) == (4, 2)
+    assert TF.read_trips(spark, table).count() == 4
+
+
 def test_snapshot_round_trip_restores_missing_labels(spark, tmp_path):
     schema = "model string, ts timestamp_ntz, y double, yhat double, holiday_name string, extra int"
     df = spark.createDataFrame([("m", None, 1.1, 2.0, "<NA>", 1), ("m", None, 1.0, 2.0, "May Day", 1)], schema)
