@@ -46,3 +46,14 @@ def test_crowds_larger_than_the_centers(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(texts))] == root
+
+
+def test_what_either_method_links_is_one_group(spark, monkeypatch):
+    """0 and 1 are linked by SimHash alone, 1 and 2 by similarity alone: one document of the three stays."""
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(f"a{k}" for k in range(60)), " ".join(base), " ".join([*base[:-1], "other"]), " ".join(base[::-1])]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[1])], "doc_id long, text string")
+    linked = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 3)], "doc_id long, component_id long")
+    monkeypatch.setattr(near_copies.simhash, "near_duplicates", lambda _: linked)
+    kept = near_copies.keep_one(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["0", "3", "None"]

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velotide.llm import simhash
 from velotide.llm.common import all_shingles, free_name, scramble, text_slices
 from velotide.llm.common import stage_and_release as stage
 from velotide.llm.components import components
@@ -335,12 +336,18 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of one document of each group of near duplicates, that with the smallest id.
 
-    All columns are kept as they are. Rows that repeat an id are one document and stay or go
-    together. Rows without an id cannot stand for a group: they are kept and compared with nothing.
+    Groups are those of SimHash (four words, four bits) and of the exact similarity, united: what either
+    links stays linked, over any number of steps. All columns are kept as they are. Rows that repeat an id
+    are one document and stay or go together. Rows without an id cannot stand for a group: they are kept
+    and compared with nothing.
     """
     named = docs.where("doc_id IS NOT NULL")
-    key = free_name(docs, "_kept")
-    groups = near_duplicates(named, similar)
-    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = named.join(ids, named["doc_id"].cast("long") == F.col(key), "left_semi")
+    plain = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    links = [
+        groups.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        for groups in (simhash.near_duplicates(plain), near_duplicates(plain, similar))
+    ]
+    key = free_name(docs, "_copy")
+    copies = components(links[0].union(links[1])).where("node <> label").select(F.col("node").alias(key))
+    kept = named.join(copies, named["doc_id"].cast("long") == F.col(key), "left_anti")
     return kept.unionByName(docs.where("doc_id IS NULL"))
