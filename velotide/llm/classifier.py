@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velotide.llm.common import encode_words, free_name, id_fold, scramble, stage, text_slices, word_hashes
+from velotide.llm.common import encode_words, free_name, id_fold, in_short_batches, scramble, stage, text_slices, word_hashes
 
 ROWS, WIDTH, SIGNS = 1 << 16, 32, 2
 REACH = 2  # words before and after
@@ -159,6 +159,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, calibration: np.ndarray) -> Networ
     return Network(centre, spread, net.weights, net.biases, float(grid[int(loss.argmin())]))
 
 
+@in_short_batches
 def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if score >= 0.3) for every row of ``docs``.
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from velotide.session import scratch_path
 # A word is a run of anything but ASCII white space, as in `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_ROWS = 1_000  # that a worker gets at once: its memory, and that of the sender, go by the texts of a batch
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +46,25 @@ def stage_and_release(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def in_short_batches(operator: Callable) -> Callable:
+    """``operator``, which takes a frame first, run with at most ``BATCH_ROWS`` rows in a batch for Python. It counts for the
+    passes that run before the operator returns; the session's own number is put back then."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs):
+        conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        if 0 < int(before) <= BATCH_ROWS:
+            return operator(docs, *args, **kwargs)
+        conf.set(name, str(BATCH_ROWS))
+        try:
+            return operator(docs, *args, **kwargs)
+        finally:
+            conf.set(name, before)
+
+    return run
+
+
 def id_fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a row without an id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % folds

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velotide.llm.common import all_shingles, encode_words, free_name, scramble, shingle_hashes, stage, text_slices, word_hashes
+from velotide.llm.common import all_shingles, encode_words, free_name, in_short_batches, scramble, shingle_hashes, stage, text_slices, word_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -187,6 +187,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@in_short_batches
 def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``doc_id``, ``item_id``, ``word`` (place of the first word), ``n_words`` (of the window), ``similarity`` for
     every item (``item_id``, ``text``) of which a window of a row of ``docs`` (``doc_id``, ``text``) has

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velotide.llm import simhash
-from velotide.llm.common import all_shingles, free_name, scramble, text_slices
+from velotide.llm.common import all_shingles, free_name, in_short_batches, scramble, text_slices
 from velotide.llm.common import stage_and_release as stage
 from velotide.llm.components import components
 
@@ -313,6 +313,7 @@ def _labels(texts: DataFrame, sizes: DataFrame, similar: float) -> DataFrame:
     return components(links.union(more))
 
 
+@in_short_batches
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``doc_id``, ``component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 

@@ -13,7 +13,7 @@ distinct fingerprints; a fingerprint pays about 190 visits, whatever the size of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velotide.llm.common import free_name, stage, text_slices
+from velotide.llm.common import free_name, in_short_batches, stage, text_slices
 from velotide.llm.components import components
 
 SHINGLE = 4
@@ -30,6 +30,7 @@ SEED = 42
 THRESHOLD = 4  # bits; the halves below are made for it
 LOW_VISIT, HIGH_VISIT = 3, 2  # covering radius 1 + the bits that a half may differ in
 HOMES_PER_GROUP, VISITS_PER_GROUP = 256, 4096  # crowded cells are cut into blocks of this size
+COMPARED, JOINED = 1 << 20, 1 << 16  # comparisons, and links found, that a task holds at once
 LOW32 = (1 << 32) - 1
 
 
@@ -138,13 +139,13 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             homes = np.add.reduceat(1 - rows[: end[-1], 2], begin)
             work = np.cumsum(homes * (end - begin - homes))
             at = 0
-            while at < len(begin):  # blocks of about four million comparisons
-                to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + (1 << 22))))
+            while at < len(begin):  # blocks of runs, or one run, which crowded cells are cut to
+                to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + COMPARED)))
                 h, v = _pairs_of_runs(begin[at:to], homes[at:to], end[at:to])
                 a, b = rows[h, 3], rows[v, 3]
                 near = np.bitwise_count((a ^ b).view(np.uint64)) <= THRESHOLD
                 pairs = np.unique(np.stack((a[near], b[near]), 1)[a[near] != b[near]], axis=0)
-                for x, y in pairs.tolist():
+                for x, y in chain.from_iterable(pairs[k : k + JOINED].tolist() for k in range(0, len(pairs), JOINED)):
                     rx, ry = root(x), root(y)
                     if rx != ry:
                         parent[max(rx, ry)] = min(rx, ry)
@@ -201,6 +202,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_link_batches, "a long, b long")
 
 
+@in_short_batches
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
