@@ -57,3 +57,27 @@ def test_what_either_method_links_is_one_group(spark, monkeypatch):
     monkeypatch.setattr(near_copies.simhash, "near_duplicates", lambda _: linked)
     kept = near_copies.keep_one(docs).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["0", "3", "None"]
+
+
+def test_a_crowd_is_compared_with_few_of_its_texts(spark, monkeypatch):
+    """Pairs to compare grow with the members of a crowd, two or so for each, not with the pairs of members."""
+    draw, compared, write = np.random.default_rng(5), {}, near_copies.stage
+    for members in (100, 300):
+        texts = []
+        for k in range(members):
+            words = [f"w{j}" for j in range(200)]
+            for place in draw.choice(200, 2, replace=False):
+                words[place] = f"edit{k}x{place}"
+            texts.append((k, " ".join(words)))
+        compared[members] = 0
+
+        def counted(df, name, members=members):
+            written = write(df, name)
+            compared[members] += written.count() if name == "candidates" else 0
+            return written
+
+        monkeypatch.setattr(near_copies, "stage", counted)
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        assert {r.component_id for r in near_copies.near_duplicates(docs).collect()} == {0}
+    assert all(pairs <= 5 * members for members, pairs in compared.items()), compared
+    assert compared[300] <= 4 * compared[100], compared

@@ -9,9 +9,9 @@ Shingles are never stored. A text's set is named by a 64-bit hash; passes over t
 what a bitmap of bounded size lets through: prefix shingles that two different sets have, then the sets that are to
 be compared. A full bitmap lets more through and loses nothing.
 
-Texts that share such a shingle are first compared with up to sixteen of them, those whose rare shingles are shared the most and
-which are therefore edited least. That joins a crowd of copies at a cost that grows with its members, not its pairs. Then all
-pairs that are still apart are compared.
+Texts that share such a shingle are first compared with one of them, that whose rare shingles are shared the most and which is
+therefore edited least. That joins a crowd of copies at a cost that grows with its members, not its pairs. Those still apart
+are compared with up to sixteen, and then all pairs that are still apart.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ SEEN = 200_000  # sets that a task remembers, so that copies among its texts are
 PER_COUNTER = 8  # shingles to a counter, while the map is no larger than
 MAP_BITS = 26  # 64 MB of counters of one byte
 PART_BITS = 16  # counters that one row carries to the driver
-CENTERS = 16  # sets that all others with the same shingle are compared with first
+CENTERS = 16  # sets that others with the same shingle are compared with, if one does not join them
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
@@ -239,78 +239,96 @@ def _chosen_sets(keep, value, kind: pa.DataType):
     return run
 
 
-def _of_pairs(pairs: DataFrame, texts: DataFrame, value, sql_type: str, kind: pa.DataType) -> DataFrame:
-    """``pairs`` with ``x`` and ``y``, what ``value`` makes of the sets of their ends. A pass over the texts makes it
-    anew for the sets in pairs."""
-    keys = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "compared")
+def _of_keys(keys: DataFrame, texts: DataFrame, value, sql_type: str, kind: pa.DataType) -> DataFrame:
+    """``key`` and what ``value`` makes of its set, for the distinct ``keys``. A pass over the texts makes the sets anew."""
     found = texts.mapInArrow(_chosen_sets(Bitmap(keys, "key").test(), value, kind), f"key long, value {sql_type}")
-    needed = stage(found.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
-    of_a = needed.select(F.col("key").alias("a"), F.col("value").alias("x"))
-    of_b = needed.select(F.col("key").alias("b"), F.col("value").alias("y"))
+    return stage(found.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def _of_pairs(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs`` with ``x`` and ``y``, the values of their ends."""
+    of_a = values.select(F.col("key").alias("a"), F.col("value").alias("x"))
+    of_b = values.select(F.col("key").alias("b"), F.col("value").alias("y"))
     return pairs.join(of_a, "a").join(of_b, "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, similar: float) -> DataFrame:
-    """The pairs of keys ``a``, ``b`` whose sets are similar enough.
+def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, similar: float) -> DataFrame:
+    """The pairs of keys ``a``, ``b`` (of ``n_a``, ``n_b`` shingles) whose sets are similar enough.
 
     Sketches, a thirty-second of the sets or less than twice that, go with every pair first and drop those that cannot be
     similar; whole sets then go only with pairs that are nearly all links.
     """
-    pairs = pairs.distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}")), end)
-    pairs = stage(pairs.where(_sizes_allow(F.col("n_a"), F.col("n_b"), similar)).select("a", "b", "n_a", "n_b"), "candidates")
-    sketched = _of_pairs(pairs, texts, _sketch, "binary", pa.binary())
+    pairs = stage(pairs.distinct(), "candidates")
+    sketched = _of_pairs(pairs, sketches)
     close = stage(sketched.mapInArrow(_may_be_alike(similar), "a long, b long"), "close")
-    whole = _of_pairs(close, texts, lambda s: s.view(np.int64), "array<long>", pa.list_(pa.int64()))
+    keys = stage(close.select(F.col("a").alias("key")).union(close.select("b")).distinct(), "compared")
+    whole = _of_pairs(close, _of_keys(keys, texts, lambda s: s.view(np.int64), "array<long>", pa.list_(pa.int64())))
     both = F.size(F.array_intersect("x", "y"))
     alike = both / (F.size("x") + F.size("y") - both) >= similar
     return stage(whole.where(alike).select("a", "b"), "alike")
 
 
 def _pairs(left: DataFrame, right: DataFrame, similar: float, *more: Column) -> DataFrame:
-    """Pairs of keys of ``left`` and ``right`` that have a shingle in common which can be the first: all that two sets share is
-    still to come in both there, and where less is left than similar sets share, it is not the first."""
+    """Pairs of keys of ``left`` and ``right``, and the sizes of their sets, that have a shingle in common which can be the
+    first: all that two sets share is still to come in both there, and where less is left than similar sets share, it is not
+    the first."""
     a, b = left.alias("a"), right.alias("b")
     rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    return a.join(
+    joined = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
         & _sizes_allow(F.col("a.n"), F.col("b.n"), similar)
         & (rest >= similar / (1 + similar) * (F.col("a.n") + F.col("b.n")) - 1e-9)
         & reduce(and_, more),
-    ).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
+    )
+    ends = (F.struct(F.col(f"{end}.key").alias("key"), F.col(f"{end}.n").alias("n")) for end in "ab")
+    ends = joined.select(F.array_sort(F.array(*ends)).alias("e"))
+    return ends.select(*(F.col("e")[k][c].alias(name) for k, c, name in
+                         ((0, "key", "a"), (0, "n", "n_a"), (1, "key", "b"), (1, "n", "n_b"))))
 
 
-def _centers(members: DataFrame) -> DataFrame:
-    """The rows of the ``CENTERS`` or fewer members of every token whose prefixes are shared the most. Edits make shingles that
+def _centers(members: DataFrame, many: int) -> DataFrame:
+    """The rows of the ``many`` or fewer members of every token whose prefixes are shared the most. Edits make shingles that
     nobody else has, so these are edited least and similar to the most others."""
-    best = F.max_by(F.struct("key", "n", "place"), F.struct("met", "key")).alias("best")
-    deal = F.pmod(F.xxhash64("key"), F.lit(CENTERS)).alias("deal")
+    best = F.max_by(F.struct("key", "n", "place", "label"), F.struct("met", "key")).alias("best")
+    deal = F.pmod(F.xxhash64("key"), F.lit(many)).alias("deal")
     return members.groupBy("token", deal).agg(best).select("token", "best.*")
 
 
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with their ``label``, of the tokens whose members are in different components."""
+    named = members.drop("label").join(labels, F.col("key") == F.col("node"), "left").drop("node")
+    named = stage(named.withColumn("label", F.coalesce("label", "key")), "named")
+    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return stage(named.join(mixed.select("token"), "token", "left_semi"), "apart")
+
+
 def _labels(texts: DataFrame, sizes: DataFrame, similar: float) -> DataFrame:
     """``node``, ``label`` of all keys that are linked with others."""
     met = _met(texts, sizes, similar)
     often = met.groupBy("key").agg(F.count("*").alias("often")).join(sizes, "key")
-    members = met.join(often.select("key", "n", (F.col("often") / F.col("n")).alias("met")), "key")
-    members = stage(members, "members")
-    centers = stage(_centers(members), "centers")
-    first = _pairs(members, centers, similar, F.col("a.key") != F.col("b.key"))
-    links = _verified(first, texts, sizes, similar)
-    labels = stage(components(links), "labels")
-    # What the stars have not joined: pairs of members in different components, neither of which was a center there.
-    others = members.join(centers, ["token", "key"], "left_anti")
-    named = others.join(labels, F.col("key") == F.col("node"), "left")
-    named = stage(named.select("token", "key", "place", "n", F.coalesce("label", "key").alias("label")), "named")
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    apart = stage(named.join(mixed.select("token"), "token", "left_semi"), "apart")
-    rest = _pairs(apart, apart, similar, F.col("a.key") < F.col("b.key"), F.col("a.label") != F.col("b.label"))
-    more = _verified(rest, texts, sizes, similar)
-    if more.isEmpty():
-        return labels
-    return components(links.union(more))
+    often = stage(often.select("key", "n", (F.col("often") / F.col("n")).alias("met")), "often")
+    members = stage(met.join(often, "key").withColumn("label", F.col("key")), "members")
+    sketches = _of_keys(often.select("key"), texts, _sketch, "binary", pa.binary())
+
+    def linked(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
+        pairs = _pairs(left, right, similar, F.col("a.label") != F.col("b.label"), *more)
+        return _verified(pairs, texts, sketches, similar)
+
+    labels = stage(components(linked(members, stage(_centers(members, 1), "centers"))), "labels")
+    # What one star a token has not joined: more centers, and then the pairs of which neither was a center there.
+    for last in (False, True):
+        members = _apart(members, labels)
+        if last:
+            more = linked(members, members, F.col("a.key") < F.col("b.key"))
+        else:
+            centers = stage(_centers(members, CENTERS), "centers")
+            more = linked(members, centers)
+            members = members.join(centers, ["token", "key"], "left_anti")
+        if not more.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = stage(components(known.union(more)), "labels")
+    return labels
 
 
 @in_short_batches
