@@ -130,3 +130,26 @@ def test_empty_hours_are_neither_aggregated_nor_sent(spark, monkeypatch):
     assert sum(r["departures"] for r in rows) == 30 and sum(r["arrivals"] for r in rows) == 30
     assert {r["ts"].hour for r in rows if r["departures"]} == {5}
     assert [r["arrivals"] for r in rows if r["arrivals"]] == [30]
+
+
+def test_ends_are_dealt_before_they_are_folded(spark, monkeypatch):
+    """Sixty ends, twenty to a task: no task folds all ends of its part of the input, and a busy hour is folded once."""
+    monkeypatch.setattr(G, "GRID_ROWS", 20)
+    minute = F.make_interval(mins=F.col("id").cast("int"))
+    at = F.lit(START + timedelta(hours=5)).cast("timestamp_ntz") + minute
+    trips = spark.range(30).select(
+        F.concat(F.lit("S"), (F.col("id") % 9).cast("string")).alias("start_station_id"),
+        at.alias("started_at"),
+        F.lit("S8").alias("end_station_id"),
+        (at + timedelta(hours=1)).alias("ended_at"),
+    )
+    stations = spark.range(10).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("station_id"))
+    grid = G.hourly_counts(trips, stations, START, START + timedelta(hours=48))
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    dealt = [part for part in plan.split("Exchange hashpartitioning(") if "Generate inline" in part]
+    assert len(dealt) == 1 and "Aggregate" not in dealt[0]
+    assert "share" in dealt[0].split(")")[0] and ", 3" in dealt[0].split(")")[0]
+    rows = grid.collect()
+    assert len({(r["station_id"], r["ts"]) for r in rows}) == len(rows) == 480
+    assert {r["ts"].hour: r["arrivals"] for r in rows if r["arrivals"]} == {6: 30}
+    assert sum(r["departures"] for r in rows if r["ts"].hour == 5) == 30

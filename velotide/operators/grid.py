@@ -11,8 +11,10 @@ from velotide.functions.columns import days, hour_floor, hours, naive
 from velotide.session import small_side, written
 from velotide.settings import CLOSED_MIN_HOURS, SYSTEM_ID
 
-# Hours of all stations that one task unfolds and its windows sort: about 100 MB.
+# Hours of all stations that one task unfolds and its windows sort: about 100 MB. Also trip ends that one task folds.
 GRID_ROWS = 1 << 19
+# Tasks that may share the ends of one busy hour of a station, where ends are dealt before they are folded.
+SHARES = 4
 
 
 def hour_array(start: datetime, end: datetime) -> Column:
@@ -30,7 +32,7 @@ def station_grid(stations: DataFrame, start: datetime, end: datetime) -> DataFra
 
 
 def trip_end_hours(trips: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """One row per trip end inside [start, end): raw station, hour, and which end it is.
+    """One row per trip end inside [start, end): raw station, hour, which end it is, and its own time.
 
     Both ends come out of one pass over the trips. The departure is kept or dropped by its own
     time and the arrival by its own, so a trip that ends past the range still departs.
@@ -55,7 +57,7 @@ def trip_end_hours(trips: DataFrame, start: datetime, end: datetime) -> DataFram
         trips.filter(touches)
         .select(F.inline(ends))
         .filter(F.col("station_id").isNotNull() & (F.col("at") >= low) & (F.col("at") < high))
-        .select("station_id", hour_floor(F.col("at")).alias("ts"), "departure")
+        .select("station_id", hour_floor(F.col("at")).alias("ts"), "departure", "at")
     )
 
 
@@ -64,7 +66,27 @@ def to_canonical(ends: DataFrame, crosswalk: DataFrame | None) -> DataFrame:
     if crosswalk is None:
         return ends
     return ends.join(small_side(crosswalk), "station_id").select(
-        F.col("canonical_id").alias("station_id"), "ts", "departure"
+        F.col("canonical_id").alias("station_id"), "ts", "departure", "at"
+    )
+
+
+def _folded(ends: DataFrame, tasks: int) -> DataFrame:
+    """Departures and arrivals per station and hour with any; an hour may have up to ``SHARES`` rows.
+
+    As many hours as fit one task fit every map-side step too. Of more, a map-side step could hold
+    every end of its part of the input: ends are dealt first, to as many tasks as keep ``GRID_ROWS``
+    of them in one.
+    """
+    share = F.pmod(F.xxhash64("at"), F.lit(SHARES)).alias("share")
+    ends, keys = ends.select("station_id", "ts", "departure", share), ["station_id", "ts"]
+    if tasks > 1:
+        keys.append("share")
+        ends = ends.repartition(max(1, -(-ends.count() // GRID_ROWS)), *keys)
+    departures = F.sum("departure")
+    return (
+        ends.groupBy(*keys)
+        .agg(departures.alias("departures"), (F.count("*") - departures).alias("arrivals"))
+        .select("station_id", "ts", "departures", "arrivals")
     )
 
 
@@ -93,25 +115,20 @@ def hourly_counts(
 ) -> DataFrame:
     """Zero-filled departures, arrivals and net flow per selected station and hour.
 
-    Only hours with a trip end are aggregated and shuffled, after a map-side step that folds a busy
-    station to one row per hour and task. Every station adds one row just before the range; each row
-    then unfolds itself and the empty hours up to the next one, after the last shuffle, so that no
-    empty hour is hashed or sent. Stations are dealt to as many tasks as keep ``GRID_ROWS`` hours in
-    one, and stay dealt for the windows that follow. Ends at stations that are not on the grid form
-    groups without that first row and are dropped; ``selective`` drops them before the aggregation,
-    which pays when the selected stations are a small part of all.
+    Only hours with a trip end are aggregated and shuffled (:func:`_folded`). Every station adds one
+    row just before the range; each row then unfolds itself and the empty hours up to the next one,
+    after the last shuffle, so that no empty hour is hashed or sent. Stations are dealt to as many
+    tasks as keep ``GRID_ROWS`` hours in one, and stay dealt for the windows that follow. Ends at
+    stations that are not on the grid form groups without that first row and are dropped;
+    ``selective`` drops them before the aggregation, which pays when the selected stations are a
+    small part of all.
     """
     stations = written(stations.select("station_id"), "stations")
     ends = to_canonical(trip_end_hours(trips, start, end), crosswalk)
     if selective:
         ends = ends.join(small_side(stations), "station_id", "left_semi")
-    ends = ends.select(
-        "station_id",
-        "ts",
-        F.col("departure").cast("bigint").alias("departures"),
-        (1 - F.col("departure")).cast("bigint").alias("arrivals"),
-        F.lit(False).alias("on_grid"),
-    )
+    n_hours = int((end - start).total_seconds() // 3600)
+    tasks = max(1, -(-stations.count() * n_hours // GRID_ROWS))
     nothing = F.lit(0).cast("bigint")
     first = stations.select(
         "station_id",
@@ -121,7 +138,8 @@ def hourly_counts(
         F.lit(True).alias("on_grid"),
     )
     known = (
-        first.unionByName(ends)
+        first.unionByName(_folded(ends, tasks).withColumn("on_grid", F.lit(False)))
+        .repartition(tasks, "station_id")
         .groupBy("station_id", "ts")
         .agg(
             F.sum("departures").alias("departures"),
@@ -129,14 +147,11 @@ def hourly_counts(
             F.max("on_grid").alias("on_grid"),
         )
     )
-    n_hours = int((end - start).total_seconds() // 3600)
-    tasks = max(1, -(-stations.count() * n_hours // GRID_ROWS))
     by_time = Window.partitionBy("station_id").orderBy("ts")
     following = F.coalesce(F.lead("ts").over(by_time), naive(end))
     here = F.col("hour") == F.col("ts")
     return (
-        known.repartition(tasks, "station_id")
-        .select(
+        known.select(
             "station_id",
             "ts",
             "departures",
