@@ -1,6 +1,7 @@
 """What a worker holds at once does not go by the rows of a default batch or by the number of crowded cells."""
 
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +79,37 @@ def test_a_crowd_of_near_copies_is_one_group(monkeypatch):
             more = {x for pair in links if reached & set(pair) for x in pair}
             grown, reached = not more <= reached, reached | more
         assert reached == set(prints.tolist()) and len(links) == len(prints) - 1
+
+
+@pytest.mark.parametrize("texts", [500, 1])
+def test_classifier_holds_a_bounded_number_of_words(texts):
+    """A batch of 600,000 words, and one text of them: besides the table (16 MB) and the coded words no pass holds much."""
+    draw = np.random.default_rng(7)
+    words = np.array([f"w{k}" for k in range(5_000)])
+    each = [" ".join(words[draw.integers(0, 5_000, 600_000 // texts)]) for _ in range(texts)]
+    batch = pa.record_batch([pa.array(range(texts)), pa.array(each)], ["doc_id", "text"])
+    table = draw.normal(size=(classifier.ROWS, classifier.WIDTH)).astype(np.float32)
+    for run in (classifier._accumulate, classifier._pooled_batches(SimpleNamespace(value=table))):
+        tracemalloc.start()
+        try:
+            for _ in run(iter([batch])):
+                pass
+            assert tracemalloc.get_traced_memory()[1] < 50e6
+        finally:
+            tracemalloc.stop()
+
+
+def test_pieces_give_the_sums_of_whole_texts(monkeypatch):
+    draw = np.random.default_rng(8)
+    batch = pa.array(["", None, "a b  c a", " ".join(f"w{k}" for k in range(300)), "one", " x y "])
+    counts, rows = classifier._rows(batch)
+    table = draw.integers(-9, 9, (classifier.ROWS, classifier.WIDTH)).astype(np.float32)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    whole = [table[rows[owner == k]].sum(axis=0) for k in range(len(counts))]
+    one = pa.record_batch([pa.array(range(6)), batch], ["doc_id", "text"])
+    seen = set()
+    for words in (1 << 16, 7, 1):
+        monkeypatch.setattr(classifier, "WORDS", words)
+        assert (classifier._sums(table, counts, rows) == whole).all()
+        seen.add(tuple((b["block"][0].as_py(), b["sums"][0].as_py()) for b in classifier._accumulate(iter([one]))))
+    assert len(seen) == 1

@@ -20,6 +20,7 @@ from velotide.llm.common import encode_words, free_name, id_fold, in_short_batch
 ROWS, WIDTH, SIGNS = 1 << 16, 32, 2
 REACH = 2  # words before and after
 BLOCKS = 64  # the table travels in pieces of ROWS / BLOCKS rows
+WORDS = 1 << 16  # looked up at once: a worker's memory goes by them, not by the words of a batch or of a long text
 SAMPLE = 20_000  # labelled rows that the network is fitted on, at most; of them the first by hash
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 256, 0.01, 1e-4
 THRESHOLD = 0.3
@@ -28,7 +29,7 @@ THRESHOLD = 0.3
 def _signs() -> tuple[np.ndarray, np.ndarray]:
     """For every row the places and signs of its sparse vector."""
     draw = scramble(np.arange(ROWS * SIGNS, dtype=np.uint64) + np.uint64(7919)).reshape(ROWS, SIGNS)
-    return (draw % np.uint64(WIDTH)).astype(np.int64), np.where(draw >> np.uint64(63), 1.0, -1.0)
+    return (draw % np.uint64(WIDTH)).astype(np.int64), np.where(draw >> np.uint64(63), 1, -1)
 
 
 def _rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,24 +40,24 @@ def _rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of a task as one row per block of the table that is not zero."""
+    """The sums of a task as one row per block of the table that is not zero, ``WORDS`` pairs at once."""
     place, sign = _signs()
-    table = np.zeros(ROWS * WIDTH)
+    table = np.zeros(ROWS * WIDTH, np.int64)
     for batch in text_slices(batches, "text", 4 << 20):
         counts, rows = _rows(batch["text"])
-        owner = np.repeat(np.arange(len(counts)), counts)
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         for step in range(1, REACH + 1):
-            near = owner[step:] == owner[:-step]
-            left, right = rows[:-step][near], rows[step:][near]
-            for word, other in ((left, right), (right, left)):
-                for k in range(SIGNS):
-                    table += np.bincount(word * WIDTH + place[other, k], sign[other, k], ROWS * WIDTH)
-    blocks = table.astype(np.int64).reshape(BLOCKS, -1)
-    full = np.flatnonzero(blocks.any(axis=1))
-    small = blocks.astype(np.int32) if np.abs(blocks).max(initial=0) < 2**31 else blocks
-    yield pa.record_batch(
-        [pa.array(full, pa.int32()), pa.array([small[b].tobytes() for b in full], pa.binary())], ["block", "sums"]
-    )
+            for at in range(0, len(rows) - step, WORDS):
+                left, right = slice(at, min(at + WORDS, len(rows) - step)), slice(at + step, at + step + WORDS)
+                near = owner[left] == owner[right]
+                ends = rows[left][near], rows[right][near]
+                for word, other in (ends, ends[::-1]):
+                    for k in range(SIGNS):
+                        np.add.at(table, word * WIDTH + place[other, k], sign[other, k])
+    for k, block in enumerate(table.reshape(BLOCKS, -1)):
+        if block.any():
+            small = block.astype(np.int32) if -(2**31) < block.min() and block.max() < 2**31 else block
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([small.tobytes()], pa.binary())], ["block", "sums"])
 
 
 def _add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,25 +83,39 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (table / np.where(length, length, 1)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """``doc_id``, ``features``: the mean vector of the words of each text; no words: zeros."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+def _sums(table: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of every text's words; no words: zeros. As many texts as have ``WORDS`` words go at once; a
+    longer text goes by itself, in pieces from its own start, so that no sum depends on the texts beside it."""
+    sums, ends, at = np.zeros((len(counts), WIDTH)), np.cumsum(counts), 0
+    while at < len(counts):
+        done = ends[at] - counts[at]
+        to = max(at + 1, int(np.searchsorted(ends, done + WORDS, side="right")))
+        full = at + np.flatnonzero(counts[at:to])
+        for begin in range(done, ends[to - 1], WORDS):
+            first = np.maximum(ends[full] - counts[full] - begin, 0)
+            piece = table[rows[begin : min(begin + WORDS, ends[to - 1])]]
+            sums[full] += np.add.reduceat(piece, first, axis=0, dtype=np.float64)
+        at = to
+    return sums
 
+
+def _pooled_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in text_slices(batches, "text", 4 << 20):
             counts, rows = _rows(batch["text"])
-            sums = np.zeros((len(counts), WIDTH))
-            full = np.flatnonzero(counts)
-            if len(full):
-                begin = (np.cumsum(counts) - counts)[full]
-                sums[full] = np.add.reduceat(table[rows], begin, axis=0, dtype=np.float64)
-            means = sums / np.maximum(counts, 1)[:, None]
+            means = _sums(table, counts, rows) / np.maximum(counts, 1)[:, None]
             values = pa.FixedSizeListArray.from_arrays(pa.array(means.ravel().astype(np.float32)), WIDTH)
             yield pa.record_batch([batch["doc_id"], values.cast(pa.list_(pa.float32()))], ["doc_id", "features"])
 
+    return run
+
+
+def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """``doc_id``, ``features``: the mean vector of the words of each text; no words: zeros."""
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(run, "doc_id long, features array<float>")
+    return plain.mapInArrow(_pooled_batches(shared), "doc_id long, features array<float>")
 
 
 @dataclass(frozen=True)
